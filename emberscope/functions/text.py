@@ -19,19 +19,24 @@ HASHTAG_PATTERN = rf"#[{WORD}]+"
 TOKEN_PATTERN = rf"[{WORD}]+"
 
 
+def _without(text: Column, mark: str, pattern: str) -> Column:
+    """Delete matches; text that lacks the mark every match contains skips the pattern."""
+    return F.when(F.contains(text, F.lit(mark)), F.regexp_replace(text, pattern, "")).otherwise(text)
+
+
 def clean_for_terms(text: Column) -> Column:
     """Drop URLs, ASCII mentions and the repost mark; tabs and newlines become spaces."""
-    out = F.regexp_replace(text, LOOSE_URL_PATTERN, "")
-    out = F.regexp_replace(out, ASCII_MENTION_PATTERN, "")
+    out = _without(text, "http", LOOSE_URL_PATTERN)
+    out = _without(out, "@", ASCII_MENTION_PATTERN)
     out = F.replace(out, F.lit("RT "), F.lit(""))
     return F.translate(out, "\n\t", "  ")
 
 
 def clean_for_lexicon(text: Column) -> Column:
     """Drop URLs, Unicode mentions and hashtags."""
-    out = F.regexp_replace(text, URL_PATTERN, "")
-    out = F.regexp_replace(out, MENTION_PATTERN, "")
-    return F.regexp_replace(out, HASHTAG_PATTERN, "")
+    out = _without(text, "http", URL_PATTERN)
+    out = _without(out, "@", MENTION_PATTERN)
+    return _without(out, "#", HASHTAG_PATTERN)
 
 
 def collapse_spaces(text: Column) -> Column:

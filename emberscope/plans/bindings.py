@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberscope.functions.columns import ratio_or_zero
 from emberscope.functions.scores import argmax_label, softmax
 from emberscope.operators import features as feat
 from emberscope.operators import labels as lab
@@ -201,11 +202,14 @@ class Tables:
     @cached_property
     def importance(self) -> DataFrame:
         """Absolute correlation of each feature with the label, per topic as the model."""
+        y = F.col("is_controversy").cast("double")
         wide = self.labelled.groupBy("topic").agg(
-            *[F.abs(F.corr(f, F.col("is_controversy").cast("double"))).alias(f) for f in IMPORTANCE_FEATURES]
+            *[
+                F.abs(ratio_or_zero(F.covar_pop(f, y), F.stddev_pop(f) * F.stddev_pop(y))).alias(f)
+                for f in IMPORTANCE_FEATURES
+            ]
         )
         long = wide.unpivot("topic", IMPORTANCE_FEATURES, "feature", "importance")
-        value = F.nanvl(F.coalesce("importance", F.lit(0.0)), F.lit(0.0))
         return long.select(
-            F.col("topic").alias("model"), "feature", F.round(value, 6).alias("importance")
+            F.col("topic").alias("model"), "feature", F.round("importance", 6).alias("importance")
         )

@@ -238,7 +238,8 @@ VIEWS: dict[str, str] = {
               FROM predictions GROUP BY 1, 2)""",
     "importance": " UNION ALL ".join(
         f"SELECT topic AS model, '{f}' AS feature, "
-        f"coalesce(nullif(round(abs(corr({f}, is_controversy)), 6), 'NaN'::DOUBLE), 0) AS importance FROM labelled GROUP BY topic"
+        f"coalesce(round(abs(covar_pop({f}, is_controversy) / nullif(stddev_pop({f}) * stddev_pop(is_controversy), 0)), 6), 0) "
+        "AS importance FROM labelled GROUP BY topic"
         for f in (
             "volume", "negative_rate", "stance_against_rate", "stance_favor_rate",
             "stance_neutral_rate", "delta_volume", "delta_volume_rate", "flame_score",
