@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberscope.functions.columns import ratio, ratio_or_zero
-from emberscope.operators.sizing import score_bucket
+from emberscope.operators.sizing import running_totals, score_bucket
 
 
 def _counts(label: Column, pred: Column) -> dict[str, Column]:
@@ -74,46 +74,13 @@ def weighted_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label"
 def score_totals(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "probability") -> DataFrame:
     """Positives and negatives at each distinct score, with the totals below it.
 
-    Rows collapse to distinct scores first.  The running totals are taken
-    inside ordered score buckets and shifted by the totals of the buckets
-    below, so no task orders the whole table.
+    Rows collapse to distinct scores before anything is ordered.
     """
-    distinct = (
-        df.groupBy(*by, F.col(score).alias("score"))
-        .agg(
-            F.count_if(F.col(label) == 1).alias("pos"),
-            F.count_if(F.col(label) == 0).alias("neg"),
-        )
-        .withColumn("_b", score_bucket(F.col("score")))
-    )
-    per_bucket = distinct.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*by)
-    offsets = per_bucket.select(
-        *by,
-        "_b",
-        F.coalesce(F.sum("_bp").over(below), F.lit(0)).alias("_op"),
-        F.coalesce(F.sum("_bn").over(below), F.lit(0)).alias("_on"),
-        F.sum("_bp").over(everything).alias("total_pos"),
-        F.sum("_bn").over(everything).alias("total_neg"),
-    )
-    inside = Window.partitionBy(*by, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    running = distinct.withColumns(
-        {
-            "_ip": F.coalesce(F.sum("pos").over(inside), F.lit(0)),
-            "_in": F.coalesce(F.sum("neg").over(inside), F.lit(0)),
-        }
-    )
-    return running.join(offsets, [*by, "_b"]).select(
-        *by,
-        "score",
-        "pos",
-        "neg",
-        (F.col("_ip") + F.col("_op")).alias("pos_below"),
-        (F.col("_in") + F.col("_on")).alias("neg_below"),
-        "total_pos",
-        "total_neg",
+    distinct = df.groupBy(*by, F.col(score).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"),
+        F.count_if(F.col(label) == 0).alias("neg"),
     )
+    return running_totals(distinct, by, "score", score_bucket(F.col("score")), ["pos", "neg"])
 
 
 def roc_auc(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "probability") -> DataFrame:

@@ -112,7 +112,7 @@ def _fourier_stage(train: DataFrame, features: Sequence[str], components: int) -
     """Random Fourier features of the standardised columns, approximating an RBF kernel.
 
     The mean and deviation of each feature are folded into the random weights,
-    so the stage is one projection over the raw columns.
+    so the stage is one expression over the raw columns.
     """
     stats = train.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
@@ -130,11 +130,8 @@ def _fourier_stage(train: DataFrame, features: Sequence[str], components: int) -
         f"named_struct('b', {float(b[j])!r}D, 'w', array({', '.join(f'{float(v)!r}D' for v in w[j])}))"
         for j in range(components)
     )
-    inputs = ", ".join(f"`{c}`" for c in features)
-    wave = (
-        f"transform(array({rows}), r -> {norm!r}D * cos(aggregate("
-        f"zip_with(r.w, array({inputs}), (a, x) -> a * x), r.b, (s, v) -> s + v)))"
-    )
+    dot = " + ".join(f"r.w[{i}] * `{c}`" for i, c in enumerate(features))
+    wave = f"transform(array({rows}), r -> {norm!r}D * cos({dot} + r.b))"
     columns = ", ".join(f"_rff[{j}] AS _rff{j}" for j in range(components))
     return SQLTransformer(statement=f"SELECT *, {columns} FROM (SELECT *, {wave} AS _rff FROM __THIS__)")
 
@@ -359,7 +356,10 @@ def permutation_importance(
     giver = hash_rank(spread, [*keys, "repeat"], by=["repeat"], salt="giver").select(
         "repeat", "rank", *[F.col(f).alias(f"_g_{f}") for f in features]
     )
-    paired = taker.join(giver, ["repeat", "rank"])
+    spark = test.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Scoring every shuffled copy is far more work than the row sizes suggest, so fix the task count.
+    paired = taker.join(giver, ["repeat", "rank"]).repartition(tasks)
     named = paired.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
     shuffled = named.withColumns(
         {f: F.when(F.col("feature") == f, F.col(f"_g_{f}")).otherwise(F.col(f)) for f in features}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscope.functions.columns import ratio
-from emberscope.operators.sizing import global_rank
+from emberscope.operators.sizing import exact_quantiles
 from emberscope.schemas import DEFAULT_CATEGORY, FEATURE_CATEGORIES
 
 ALERT_RULES = ("high_volume", "high_negative", "high_against", "rapid_rise")
@@ -141,15 +141,8 @@ def by_label_profile(labelled: DataFrame, label: str = "is_controversy") -> Data
 
 
 def box_profile(labelled: DataFrame, feature: str, label: str = "is_controversy") -> DataFrame:
-    """Minimum, quartiles and maximum of a feature per label.
-
-    The exact percentile keeps one counter per distinct value, combined before
-    the shuffle.
-    """
-    quarter = [F.percentile(feature, F.lit(q)).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return labelled.groupBy(label).agg(
-        F.min(feature).alias("lowest"), *quarter, F.max(feature).alias("highest")
-    )
+    """Minimum, quartiles and maximum of a feature per label."""
+    return exact_quantiles(labelled, feature, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [label])
 
 
 def score_summary(scored: DataFrame) -> DataFrame:
@@ -268,8 +261,3 @@ def all_topics(*sources: DataFrame) -> DataFrame:
 def complement(df: DataFrame, held_out: DataFrame, key: str = "topic") -> DataFrame:
     """Rows whose key is not in the held-out part."""
     return df.join(held_out.select(key).distinct(), key, "left_anti")
-
-
-def ordered_rank(df: DataFrame, by: str, bucket: Column) -> DataFrame:
-    """Global ascending rank for tables too large for one ordered task."""
-    return global_rank(df, bucket, [F.col(by)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +29,15 @@ def read_raw_posts(
     keep_bad_rows: bool = False,
     schema: T.StructType = RAW_POST_SCHEMA,
     header: bool = True,
+    glob: str = "*.csv",
 ) -> DataFrame:
     """Raw post CSVs as text columns, with topic, source file and row position.
 
     Lines starting with ``#`` are dropped and quoted text may span lines.
-    Rows that do not fit the schema are dropped, or kept with their text in
-    ``_corrupt``.  Text that spans lines needs ``multi_line``, which reads each
-    file in one task; without it files are split.
+    Rows that do not fit the schema are dropped, or kept with ``bad_row`` set
+    and their text in ``_corrupt``.  Text that spans lines needs
+    ``multi_line``, which reads each file in one task; without it files are
+    split.
     """
     options = {
         "header": str(header).lower(),
@@ -42,26 +45,32 @@ def read_raw_posts(
         "escape": '"',
         "multiLine": str(multi_line).lower(),
         "recursiveFileLookup": str(recursive).lower(),
-        "pathGlobFilter": "*.csv",
+        "pathGlobFilter": glob,
         "enforceSchema": "false" if header else "true",
         "columnNameOfCorruptRecord": CORRUPT,
-        "mode": "PERMISSIVE" if keep_bad_rows else "DROPMALFORMED",
+        "mode": "PERMISSIVE",
     }
-    wanted = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]) if keep_bad_rows else schema
+    wanted = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     raw = spark.read.options(**options).schema(wanted).csv(paths)
-    return raw.select(
+    # Dropping by mode would depend on the columns a query reads, and a test of the
+    # corrupt column alone is refused; the test therefore reads a data column too.
+    some_column = F.coalesce(F.col(schema.fields[0].name), F.lit(""))
+    bad = F.col(CORRUPT).isNotNull() | (some_column == "\0")
+    located = raw.select(
         "*",
+        bad.alias("bad_row"),
         file_topic(F.col("_metadata.file_path")).alias("topic"),
         F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("file_offset"),
         F.monotonically_increasing_id().alias("row_pos"),
     )
+    return located if keep_bad_rows else located.filter(~F.col("bad_row")).drop("bad_row", CORRUPT)
 
 
-def read_comment_metadata(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_comment_metadata(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv") -> DataFrame:
     """Query, collection time and row count from the ``# key: value`` lines of each file."""
     lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(paths)
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths)
         .select("value", F.col("_metadata.file_path").alias("path"))
         .filter(F.col("value").startswith("#"))
     )
@@ -125,27 +134,40 @@ def topic_from_path(path: Column) -> Column:
     return F.coalesce(after("original"), after("outputs"), named, F.lit("unknown"))
 
 
-def read_polarity_dictionary(spark: SparkSession, path: str, encodings: Sequence[str] = ("windows-31j", "UTF-8")) -> DataFrame:
+def _decoder(encoding: str):
+    @F.pandas_udf("string")
+    def decode(lines: pd.Series) -> pd.Series:
+        def one(raw: bytes) -> str | None:
+            try:
+                return bytes(raw).decode(encoding)
+            except UnicodeDecodeError:
+                return None
+
+        return lines.map(one)
+
+    return decode
+
+
+def read_polarity_dictionary(spark: SparkSession, path: str, encodings: Sequence[str] = ("cp932", "utf-8")) -> DataFrame:
     """``word:reading:class:score`` lines to ``word, polarity, line_no`` in {-1, +1}.
 
-    Encodings are tried in order; one that yields replacement characters is
-    passed over unless it is the last.
+    The first encoding that reads every line is used, else the last one.
     """
-    chosen = None
+    raw = spark.read.text(path).select(
+        F.col("value").cast("binary").alias("raw"), F.monotonically_increasing_id().alias("line_no")
+    )
+    lines = raw
     for encoding in encodings:
-        chosen = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").schema("value string").csv(path)
-        damaged = chosen.filter(F.contains("value", F.lit("�"))).limit(1).count()
-        if not damaged:
+        lines = raw.select(_decoder(encoding)("raw").alias("value"), "line_no")
+        if encoding == encodings[-1] or not lines.filter(F.col("value").isNull()).limit(1).count():
             break
-    parts = chosen.withColumn("p", F.split(F.trim("value"), ":")).filter(F.size("p") >= 4)
-    return (
-        parts.select(
-            F.col("p")[0].alias("word"),
-            discretise_polarity(F.col("p")[3].cast("double")).alias("polarity"),
-            F.monotonically_increasing_id().alias("line_no"),
-        )
-        .filter(F.col("polarity") != 0)
+    parts = lines.withColumn("p", F.split(F.trim("value"), ":")).filter(F.size("p") >= 4)
+    graded = parts.select(
+        F.col("p")[0].alias("word"),
+        discretise_polarity(F.col("p")[3].cast("double")).alias("polarity"),
+        "line_no",
     )
+    return graded.filter(F.col("polarity") != 0)
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
