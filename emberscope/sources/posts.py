@@ -49,6 +49,8 @@ def read_raw_posts(
         "enforceSchema": "false" if header else "true",
         "columnNameOfCorruptRecord": CORRUPT,
         "mode": "PERMISSIVE",
+        # A pruned parse would not notice surplus fields.
+        "columnPruning": "false",
     }
     wanted = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     raw = spark.read.options(**options).schema(wanted).csv(paths)
