@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberscope.functions import columns as col
 from emberscope.functions import composites as comp
@@ -611,3 +616,21 @@ def _s8(t: Tables) -> DataFrame:
         .otherwise(F.lit("data/original/20240101.csv"))
     )
     return t.events.select("event_id", src.topic_from_path(path).alias("topic_name"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def word_tokenizer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A user-supplied tokenizer: set up once per task, then fed Arrow batches."""
+    pattern = re.compile(r"\w+")
+    for texts in batches:
+        yield texts.map(lambda s: pattern.findall(s or ""))
+
+
+@query(
+    "d5_tokenizer_plugin",
+    "SELECT doc_id, positive_score, negative_score, word_count FROM doc_hits",
+    doubles=["positive_score", "negative_score"],
+)
+def _d5(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text")
+    return lex.token_weights(docs, t.lexicon, "text", ["doc_id"], tokenizer=word_tokenizer).drop("text")

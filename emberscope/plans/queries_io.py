@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from emberscope.operators import cleaning as cl
 from emberscope.operators import modelling as mo
+from emberscope.plans import jobs
 from emberscope.plans.bindings import Tables
-from emberscope.plans.queries_models import training_rows
+from emberscope.plans.queries_models import COMPARISON_ROUNDS, training_rows
 from emberscope.plans.registry import query
 from emberscope.schemas import FEATURES_10, HEADER_KEYS, RAW_POST_COLUMNS
 from emberscope.session import shared_dir
@@ -185,3 +186,48 @@ def _s18(t: Tables) -> DataFrame:
     )
     per_model.write.json(root)
     return tab.read_importances(t.spark, root)
+
+
+def export_posts(t: Tables) -> str:
+    """Write the posts as raw CSVs, one folder per topic, every post twice."""
+    root = shared_dir(t.spark, "posts")
+    text = {c: F.lit(None).cast("string") for c in RAW_POST_COLUMNS}
+    text |= {
+        "date": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+        "id": C("tweet_id"),
+        "content": C("doc_id").cast("string"),
+        "user": C("user_id"),
+        **{c: C(c).cast("string") for c in ("reply_count", "retweet_count", "like_count")},
+    }
+    rows = t.posts.select(*[v.alias(k) for k, v in text.items()], "topic")
+    rows.unionByName(rows).write.partitionBy("topic").option("header", "true").csv(root)
+    return root
+
+
+@query(
+    "raw_files_to_labelled",
+    """SELECT topic, "timestamp", volume, negative_rate, delta_volume_rate, engagement_rate, flame_score, is_controversy
+       FROM labelled""",
+    doubles=["volume", "negative_rate", "delta_volume_rate", "engagement_rate", "flame_score"],
+)
+def _raw_to_labelled(t: Tables) -> DataFrame:
+    """All stages, from CSV files to labelled windows; post text is looked up by document number."""
+
+    def sentiment(posts: DataFrame) -> DataFrame:
+        return posts.withColumn("doc_id", C("content").cast("bigint")).join(t.doc_sentiment, "doc_id", "left")
+
+    out = jobs.raw_to_labelled(
+        t.spark, export_posts(t), shared_dir(t.spark, "stages"), sentiment, t.with_stance, t.intervals,
+        zone="UTC", multi_line=False,
+    )
+    return out.select(
+        "topic", "timestamp", "volume", "negative_rate", "delta_volume_rate", "engagement_rate",
+        "flame_score", "is_controversy",
+    )
+
+
+@query("unified_training")
+def _unified(t: Tables) -> DataFrame:
+    preset = mo.with_rounds({"unified": mo.UNIFIED}, COMPARISON_ROUNDS)["unified"]
+    result = jobs.train_unified(t.labelled, preset=preset)
+    return result["metrics"].select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1")
