@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from emberscope.functions.scores import discretise_polarity, token_class, token_polarity
 from emberscope.functions.text import clean_for_lexicon, clean_for_terms, tokenize
-from emberscope.operators.sizing import is_small
 
 INLINE_WORDS = 20_000
 CONTAINS_WORDS = 64
@@ -28,10 +27,13 @@ def discretised(lexicon: DataFrame) -> DataFrame:
     )
 
 
-def words_by_polarity(lexicon: DataFrame) -> dict[float, list[str]]:
-    """Bounded driver copy of a lexicon, for use as literals (callers check the size)."""
+def words_by_polarity(lexicon: DataFrame, max_words: int) -> dict[float, list[str]] | None:
+    """Driver copy of a lexicon, for use as literals; None if it has more than ``max_words``."""
+    rows = lexicon.select("word", F.col("polarity").cast("double").alias("p")).limit(max_words + 1).collect()
+    if len(rows) > max_words:
+        return None
     out: dict[float, list[str]] = {}
-    for row in lexicon.select("word", F.col("polarity").cast("double").alias("p")).collect():
+    for row in rows:
         out.setdefault(row["p"], []).append(row["word"])
     return {p: sorted(words) for p, words in sorted(out.items())}
 
@@ -65,8 +67,8 @@ def token_weights(
     each partition before it moves.
     """
     tokens = tokenizer(clean_for_lexicon(F.col(text)))
-    if is_small(lexicon, inline_words):
-        by_polarity = words_by_polarity(lexicon)
+    by_polarity = words_by_polarity(lexicon, inline_words)
+    if by_polarity is not None:
         listed = posts.withColumn("_tokens", tokens)
         return listed.withColumns(
             {
@@ -126,17 +128,19 @@ def substring_score(
     of its word lengths; one too large for literals is joined on them.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    if is_small(lexicon, contains_words):
+    known = words_by_polarity(lexicon, inline_words)
+    size = sum(map(len, known.values())) if known is not None else None
+    if size is not None and size <= contains_words:
         terms = [
             F.when(F.contains(body, F.lit(word)), F.lit(p)).otherwise(F.lit(0.0))
-            for p, words in words_by_polarity(lexicon).items()
+            for p, words in known.items()
             for word in words
         ]
         score = reduce(lambda a, b: a + b, terms, F.lit(0.0))
         return posts.withColumn("sentiment_score", score.cast("bigint"))
-    if is_small(lexicon, inline_words):
+    if known is not None:
         by_length: dict[int, dict[float, list[str]]] = {}
-        for p, words in words_by_polarity(lexicon).items():
+        for p, words in known.items():
             for word in words:
                 by_length.setdefault(len(word), {}).setdefault(p, []).append(word)
         out = posts

@@ -1,4 +1,4 @@
-"""Size-checked broadcast and skew-proof global ranks."""
+"""Size checks, and ranks, totals and quantiles that no single task has to order."""
 
 from __future__ import annotations
 
@@ -7,17 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_TABLE_ROWS = 100_000
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; looks at no more than that many.
+
+    Local relations answer without a job.
+    """
+    return len(df.select(F.lit(1)).limit(max_rows + 1).collect()) <= max_rows
 
 
-def is_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a DataFrame."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Hint a broadcast only when the row count is proven small; else leave the join to AQE."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def spread_small_input(df: DataFrame, key: str, max_bytes: int = 1 << 30) -> DataFrame:
+    """Spread a small input over all cores before costly work on its rows.
+
+    A small file is one row group and would be read, and worked on, by a
+    single task.  Inputs above ``max_bytes`` already have many row groups and
+    stay where they are read, so at most that much is ever moved.
+    """
+    if estimated_bytes(df) > max_bytes:
+        return df
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(min(tasks, 256), key)
 
 
 def hash_order(*keys: Column) -> Column:

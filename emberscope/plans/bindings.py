@@ -13,6 +13,7 @@ from emberscope.operators import features as feat
 from emberscope.operators import labels as lab
 from emberscope.operators import lexicon as lex
 from emberscope.operators import series as ser
+from emberscope.operators.sizing import spread_small_input
 from emberscope.plans.constants import (
     EVAL_MODELS,
     INTERVALS,
@@ -100,10 +101,15 @@ class Tables:
     def intervals(self) -> DataFrame:
         return lab.usable_intervals(self.raw_intervals)
 
+    @cached_property
+    def doc_texts(self) -> DataFrame:
+        """Document texts, spread over the cores when the table is small."""
+        return spread_small_input(self.documents.select("doc_id", "text"), "doc_id")
+
     @cached_property
     def doc_polarity(self) -> DataFrame:
         """Dictionary sentiment per distinct text, not per post."""
-        scored = lex.with_token_sentiment(self.documents, self.lexicon, "text", ["doc_id"])
+        scored = lex.with_token_sentiment(self.doc_texts, self.lexicon, "text", ["doc_id"])
         return scored.select(
             "doc_id", F.col("text").isNotNull().alias("has_text"),
             "positive_score", "negative_score", "polarity", "sentiment", "word_count",
@@ -128,7 +134,7 @@ class Tables:
     @cached_property
     def doc_substring(self) -> DataFrame:
         return lex.substring_score(
-            self.documents, self.substring_lexicon, "text", ["doc_id"]
+            self.doc_texts, self.substring_lexicon, "text", ["doc_id"]
         ).select("doc_id", "sentiment_score")
 
     def with_stance(self, df: DataFrame) -> DataFrame:

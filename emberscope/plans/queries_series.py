@@ -290,14 +290,14 @@ def _j6(t: Tables) -> DataFrame:
 @query("j6_substring_score_grams", "SELECT doc_id, sentiment_score FROM doc_substring")
 def _j6b(t: Tables) -> DataFrame:
     """The lookup used for lexicons too long for one test per word."""
-    scored = lex.substring_score(t.documents, t.substring_lexicon, "text", ["doc_id"], contains_words=0)
+    scored = lex.substring_score(t.doc_texts, t.substring_lexicon, "text", ["doc_id"], contains_words=0)
     return scored.select("doc_id", "sentiment_score")
 
 
 @query("j6_substring_score_join", "SELECT doc_id, sentiment_score FROM doc_substring")
 def _j6c(t: Tables) -> DataFrame:
     """The join used for lexicons too large for literals."""
-    docs = t.documents.select("doc_id", "text")
+    docs = t.doc_texts
     scored = lex.substring_score(docs, t.substring_lexicon, "text", ["doc_id"], contains_words=0, inline_words=0)
     return scored.select("doc_id", "sentiment_score")
 
@@ -309,7 +309,7 @@ def _j6c(t: Tables) -> DataFrame:
 )
 def _j7(t: Tables) -> DataFrame:
     """The join used for lexicons too large for literals."""
-    docs = t.documents.select("doc_id", "text")
+    docs = t.doc_texts
     out = lex.token_weights(docs, t.lexicon, "text", ["doc_id"], inline_words=0)
     return out.drop("text")
 
@@ -320,7 +320,7 @@ def _j7(t: Tables) -> DataFrame:
     doubles=["positive_score", "negative_score"],
 )
 def _j7b(t: Tables) -> DataFrame:
-    out = lex.token_weights(t.documents.select("doc_id", "text"), t.lexicon, "text", ["doc_id"])
+    out = lex.token_weights(t.doc_texts, t.lexicon, "text", ["doc_id"])
     return out.drop("text")
 
 
@@ -350,7 +350,7 @@ def _s10(t: Tables) -> DataFrame:
        ORDER BY "count" DESC, f LIMIT 30""",
 )
 def _a21(t: Tables) -> DataFrame:
-    return lex.top_terms(t.documents, 30, text="text", order="doc_id")
+    return lex.top_terms(t.doc_texts, 30, text="text", order="doc_id")
 
 
 @query(
