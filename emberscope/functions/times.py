@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY_SECONDS = 86400
+UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": DAY_SECONDS}
 OFFSET_PATTERN = r"([+-])(\d{2}):?(\d{2})$"
 
 
@@ -45,10 +46,24 @@ def format_with_offset(local_wall: Column, offset: str = "+09:00") -> Column:
     return F.concat(F.date_format(local_wall, "yyyy-MM-dd HH:mm:ss"), F.lit(offset))
 
 
-def bin_start(ts: Column, width: str = "1 hour", origin: str | None = None) -> Column:
-    """Start of the tumbling window holding ``ts``; windows start at local midnight."""
-    window = F.window(ts, width) if origin is None else F.window(ts, width, startTime=origin)
-    return window["start"]
+def width_seconds(width: str) -> int:
+    """Seconds of a width such as ``10 minutes`` or ``1 day``."""
+    number, unit = width.split()
+    return int(number) * UNIT_SECONDS[unit.rstrip("s")]
+
+
+def bin_start(ts: Column, width: str = "1 hour") -> Column:
+    """Start of the tumbling window holding ``ts``, for widths that divide a day."""
+    if DAY_SECONDS % width_seconds(width):
+        raise ValueError(f"{width} does not divide a day; use bin_start_from")
+    return F.window(ts, width)["start"]
+
+
+def bin_start_from(ts: Column, width: str, origin: Column) -> Column:
+    """Start of the tumbling window holding ``ts``, counted from ``origin``."""
+    step = width_seconds(width)
+    passed = F.floor(F.timestamp_diff("SECOND", origin, ts) / step)
+    return F.timestamp_add("SECOND", (passed * step).cast("int"), origin)
 
 
 def hour_floor(ts: Column) -> Column:

@@ -13,16 +13,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscope.functions.columns import ratio, ratio_or_zero, share
-from emberscope.functions.times import bin_start
+from emberscope.functions.times import DAY_SECONDS, bin_start, bin_start_from, width_seconds
 from emberscope.operators.sizing import global_rank
 
 KEYS = ["topic", "timestamp"]
 
 
 def by_window(posts: DataFrame, width: str = "1 hour", time: str = "timestamp", keys: Sequence[str] = ("topic",)):
-    """Grouping of posts by topic and tumbling window start."""
-    binned = posts.withColumn("_bin", bin_start(F.col(time), width)).filter(F.col("_bin").isNotNull())
-    return binned.groupBy(*keys, F.col("_bin").alias("timestamp"))
+    """Grouping of posts by topic and tumbling window start.
+
+    Windows start at midnight.  A width that does not divide a day counts from
+    midnight of the topic's first day, which takes one small extra aggregate.
+    """
+    if DAY_SECONDS % width_seconds(width) == 0:
+        binned = posts.withColumn("_bin", bin_start(F.col(time), width))
+    else:
+        first = posts.groupBy(*keys).agg(
+            F.to_date(F.min(time)).cast("timestamp_ntz").alias("_origin")
+        )
+        binned = posts.join(first, list(keys)).withColumn(
+            "_bin", bin_start_from(F.col(time), width, F.col("_origin"))
+        )
+    return binned.filter(F.col("_bin").isNotNull()).groupBy(*keys, F.col("_bin").alias("timestamp"))
 
 
 def gap_fill(

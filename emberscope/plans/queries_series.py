@@ -167,6 +167,15 @@ def _a9b(t: Tables) -> DataFrame:
     return ser.dictionary_series(t.dict_posts, "3 hours")
 
 
+@query(
+    "a9_dictionary_series_7h",
+    _dict_series_sql("time_bucket(INTERVAL 7 HOUR, \"timestamp\", TIMESTAMP '2024-01-01 00:00:00')"),
+    doubles=DICT_DOUBLES,
+)
+def _a9d(t: Tables) -> DataFrame:
+    return ser.dictionary_series(t.dict_posts, "7 hours")
+
+
 @query("a9_dictionary_series_1d", _dict_series_sql("date_trunc('day', \"timestamp\")"), doubles=DICT_DOUBLES)
 def _a9c(t: Tables) -> DataFrame:
     return ser.dictionary_series(t.dict_posts, "1 day")
