@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,15 +43,17 @@ def standardize_posts(raw: DataFrame, zone: str = "Asia/Tokyo", keep: Sequence[s
     )
 
 
-def drop_undated(posts: DataFrame, observation: Observation | None = None) -> DataFrame:
-    """Keep dated posts; an observation reports the dropped count of the same pass."""
-    if observation is not None:
-        posts = posts.observe(
-            observation, F.count_if(F.col("timestamp").isNull()).alias("dropped_undated")
-        )
+def drop_undated(posts: DataFrame) -> DataFrame:
     return posts.filter(F.col("timestamp").isNotNull())
 
 
+def undated_count(posts: DataFrame) -> DataFrame:
+    """Posts in all and posts without a time; reads only the time column."""
+    return posts.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("timestamp").isNull()).alias("undated")
+    )
+
+
 def strict_utc(df: DataFrame, column: str) -> DataFrame:
     """Timestamp text to UTC; text that cannot be read fails the job, null rows are dropped."""
     return df.withColumn(column, parse_utc(F.col(column), strict=True)).filter(F.col(column).isNotNull())

@@ -117,6 +117,14 @@ def _p6(t: Tables) -> DataFrame:
     return cl.drop_undated(dated)
 
 
+@query(
+    "p6_undated_count",
+    f"""SELECT count(*) AS n, count(*) FILTER (WHERE {STAMP_SQL} IS NULL) AS undated FROM ({RAW_SQL})""",
+)
+def _p6b(t: Tables) -> DataFrame:
+    return cl.undated_count(raw_posts(t).select(tm.to_local(C("date")).alias("timestamp")))
+
+
 @query("p7_strict_utc", """SELECT event_id, ts AS utc_time FROM events WHERE ts IS NOT NULL""")
 def _p7(t: Tables) -> DataFrame:
     text = t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS'Z'").alias("utc_time"))

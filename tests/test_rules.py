@@ -68,12 +68,9 @@ def test_missing_columns_become_null(spark):
 
 
 def test_undated_posts_are_counted_and_dropped(spark):
-    from pyspark.sql import Observation
-
-    seen = Observation("undated")
     df = spark.createDataFrame([(at(1),), (None,)], "timestamp timestamp_ntz")
-    assert cl.drop_undated(df, seen).count() == 1
-    assert seen.get["dropped_undated"] == 1
+    assert cl.drop_undated(df).count() == 1
+    assert tuple(cl.undated_count(df).first()) == (2, 1)
 
 
 def test_text_cleaning(spark):
@@ -375,3 +372,9 @@ def test_virtual_engagement_is_reproducible(spark):
     a = comp.with_virtual_engagement(df, key).agg(F.sum("avg_engagement"), F.min("avg_engagement"), F.max("avg_engagement")).first()
     b = comp.with_virtual_engagement(df.repartition(5), key).agg(F.sum("avg_engagement")).first()
     assert math.isclose(a[0], b[0]) and 1.0 <= a[1] and a[2] < 3.0
+
+
+def test_width_that_does_not_divide_a_day(spark):
+    posts = timed(spark, [("t", at(1, 5), 1), ("t", at(1, 23), 1), ("t", at(2, 3), 1), ("u", at(2, 3), 1)], "n int")
+    got = rows(ser.by_window(posts, "7 hours").agg(F.count("n")), "topic", "timestamp")
+    assert got == [("t", at(1, 0), 1), ("t", at(1, 21), 2), ("u", at(2, 0), 1)]
