@@ -67,7 +67,7 @@ def bin_start_from(ts: Column, width: str, origin: Column) -> Column:
 
 
 def hour_floor(ts: Column) -> Column:
-    return F.date_trunc("hour", ts).cast("timestamp_ntz")
+    return bin_start(ts, "1 hour")
 
 
 def interval_start(day: Column, hour: Column) -> Column:
