@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from emberscope.llm import line_crf, quality, token_files
+from emberscope.llm import decontaminate, line_crf, quality, token_files
 from emberscope.llm.registry import LLM_QUERIES, LLM_SQL, query, table
 
 __all__ = ["LLM_QUERIES", "LLM_SQL"]
@@ -68,3 +68,8 @@ def op9(spark, sf_dir):
 @query("op10_line_crf_quality")
 def op10(spark, sf_dir):
     return line_crf.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_bm25_wand_decontamination")
+def op8(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
