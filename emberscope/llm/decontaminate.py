@@ -35,7 +35,7 @@ def item_words(text: bytes) -> list[bytes]:
 def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
     """The answer is the last sentence or line, with those before it until it has ten words, as a word run
     together with its surroundings should not decide alone; the question is the rest.  If nothing would be
-    left for the question, the answer is the last quarter of the words.
+    left for the question, the answer is the last quarter of the words, or ten of them if half are as many.
     """
     parts = [w for w in map(item_words, SENTENCE.split(text)) if w]
     words = [w for p in parts for w in p]
@@ -44,7 +44,7 @@ def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
         k -= 1
         size += len(parts[k])
     if k == 0:
-        size = max(1, len(words) // 4) if len(words) > 1 else 0
+        size = max(len(words) // 4, min(ANSWER_WORDS, len(words) // 2))
     cut = len(words) - size
     return words[:cut], words[cut:]
 
