@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from emberscope.llm import decontaminate, line_crf, quality, substring_dedup, token_files
+from emberscope.llm import decontaminate, line_crf, near_dedup, quality, substring_dedup, token_files
 from emberscope.llm.registry import LLM_QUERIES, LLM_SQL, query, table
 
 __all__ = ["LLM_QUERIES", "LLM_SQL"]
@@ -78,3 +78,8 @@ def op8(spark, sf_dir):
 @query("op3_block_anchor_dedup")
 def op3(spark, sf_dir):
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op5_circulant_minhash_dedup")
+def op5(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
