@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from emberscope.llm import decontaminate, line_crf, near_dedup, quality, substring_dedup, token_files
+from emberscope.llm import decontaminate, line_crf, mixing, near_dedup, quality, substring_dedup, token_files
 from emberscope.llm.registry import LLM_QUERIES, LLM_SQL, query, table
 
 __all__ = ["LLM_QUERIES", "LLM_SQL"]
@@ -83,3 +84,10 @@ def op3(spark, sf_dir):
 @query("op5_circulant_minhash_dedup")
 def op5(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_splitting_tree_mix")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs)
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"))
