@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontaminate, line_crf, mixing, near_dedup, quality, substring_dedup, token_files
+from emberscope.llm import decontaminate, line_crf, mixing, near_dedup, quality, secret_scan, substring_dedup, token_counts, token_files
 from emberscope.llm.registry import LLM_QUERIES, LLM_SQL, query, table
 
 __all__ = ["LLM_QUERIES", "LLM_SQL"]
@@ -91,3 +91,13 @@ def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs)
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"))
+
+
+@query("op1_trie_token_counts")
+def op1(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_markov_secret_scan")
+def op4(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
