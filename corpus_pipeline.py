@@ -24,8 +24,8 @@ def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules; a repeated id stays if one of its texts passes."""
-    return keep(docs, quality.quality_rules(docs))
+    """Documents that pass the quality rules."""
+    return quality.passing(docs.select(*COLUMNS))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

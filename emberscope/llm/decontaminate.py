@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.shared import pieces, ranges, texts
+from emberscope.llm.shared import pieces, ranges, stage, texts
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -263,5 +263,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDE
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no test item, with all their columns."""
-    leaks = contamination(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    leaks = stage(contamination(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")), "left_anti")

@@ -101,33 +101,33 @@ def _dup_lines(value: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def _measure(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        values = [v or b"" for v in batch.column("text").to_pylist()]
-        words, bounds = split_words(values)
-        n = np.diff(bounds)
-        of_doc = np.repeat(np.arange(len(values)), n)
-        codes, distinct = pd.factorize(np.array([*words, None], object)[:-1])
-        match = longest_matches(of_doc * max(1, len(distinct)) + codes, bounds)
-
-        def total(flags):
-            return np.bincount(of_doc, weights=flags, minlength=len(values)).astype(np.int64)
-
-        longest = np.zeros(len(values), np.int64)
-        np.maximum.at(longest, of_doc, match)
-        repeat, cover = total(covered(match, 3)), total(covered(match, rules.min_repeat))
-        chars = [len(v.translate(None, SPACES).decode("utf-8", "replace")) for v in values]
-        symbols = [len(v) - len(v.translate(None, SYMBOLS)) for v in values]
-        failed = (n < rules.min_words) | (repeat > rules.max_repeat_share * n)
-        kept = ~failed & (cover <= rules.max_covered * n) & (longest <= rules.max_repeat)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), pa.array(n), pa.array(chars, pa.int64()), pa.array(symbols, pa.int64()),
-                pa.array([_dup_lines(v) for v in values], pa.int64()), pa.array(repeat), pa.array(failed),
-                pa.array(cover), pa.array(longest), pa.array(kept),
-            ],
-            names=[f.split()[0] for f in SCHEMA.split(", ")],
-        )
+def measure(batch: pa.RecordBatch, rules: Rules) -> pa.RecordBatch:
+    """The measures of one batch of ids and texts."""
+    values = [v or b"" for v in batch.column("text").cast(pa.binary()).to_pylist()]
+    words, bounds = split_words(values)
+    n = np.diff(bounds)
+    of_doc = np.repeat(np.arange(len(values)), n)
+    codes, distinct = pd.factorize(np.array([*words, None], object)[:-1])
+    match = longest_matches(of_doc * max(1, len(distinct)) + codes, bounds)
+
+    def total(flags):
+        return np.bincount(of_doc, weights=flags, minlength=len(values)).astype(np.int64)
+
+    longest = np.zeros(len(values), np.int64)
+    np.maximum.at(longest, of_doc, match)
+    repeat, cover = total(covered(match, 3)), total(covered(match, rules.min_repeat))
+    chars = [len(v.translate(None, SPACES).decode("utf-8", "replace")) for v in values]
+    symbols = [len(v) - len(v.translate(None, SYMBOLS)) for v in values]
+    failed = (n < rules.min_words) | (repeat > rules.max_repeat_share * n)
+    kept = ~failed & (cover <= rules.max_covered * n) & (longest <= rules.max_repeat)
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("doc_id"), pa.array(n), pa.array(chars, pa.int64()), pa.array(symbols, pa.int64()),
+            pa.array([_dup_lines(v) for v in values], pa.int64()), pa.array(repeat), pa.array(failed),
+            pa.array(cover), pa.array(longest), pa.array(kept),
+        ],
+        names=[f.split()[0] for f in SCHEMA.split(", ")],
+    )
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -137,4 +137,14 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     no words and fail ``min_words``; repeated rows are each judged; a null ``doc_id`` stays null; columns
     other than ``doc_id`` and ``text`` are ignored; no rows give no rows.
     """
-    return texts(docs).mapInArrow(lambda batches: _measure(batches, rules), SCHEMA)
+    return texts(docs).mapInArrow(lambda batches: (measure(b, rules) for b in pieces(batches)), SCHEMA)
+
+
+def passing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows that pass, with all their columns, filtered where they are read."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield batch.filter(measure(batch.select(["doc_id", "text"]), rules).column("kept"))
+
+    return docs.mapInArrow(keep, docs.schema)

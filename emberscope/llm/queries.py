@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontaminate, line_crf, mixing, near_dedup, quality, secret_scan, substring_dedup, token_counts, token_files
+from emberscope.llm import decontaminate, line_crf, mixing, near_dedup, quality, role_repair, secret_scan, substring_dedup, token_counts, token_files
 from emberscope.llm.registry import LLM_QUERIES, LLM_SQL, query, table
 
 __all__ = ["LLM_QUERIES", "LLM_SQL"]
@@ -101,3 +101,8 @@ def op1(spark, sf_dir):
 @query("op4_markov_secret_scan")
 def op4(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query("op7_role_repair_format")
+def op7(spark, sf_dir):
+    return role_repair.repair(table(spark, sf_dir, "conversations")).drop("position")
