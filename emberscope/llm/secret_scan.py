@@ -28,6 +28,7 @@ SYMBOLS = HIGH - LOW + 1
 UNITS = 1000
 RATIO = 15 * UNITS
 PRIOR = 0.2
+BACKOFF = 8.0
 
 
 def matches(text: str, pattern: str) -> Column:
@@ -69,17 +70,25 @@ def train(samples: DataFrame) -> DataFrame:
     """One row: ``ratios``, the log-likelihood ratio (in thousandths) of every pair of characters.
 
     ``samples`` has token (of the candidates' characters, two or more) and label (1 random, 0 ordinary).  Each
-    model is the chance of a character after another, counted with ``PRIOR`` added to every pair, so without
-    samples of a label its model is uniform.  Integers keep sums exact in any order.
+    model is the chance of a character after another, backed off to its chance after any (``BACKOFF`` counts'
+    worth), which starts from ``PRIOR`` counts each, so without samples of a label its model is uniform.  Integers keep sums exact in any order.
     """
     distinct = samples.groupBy("token", "label").agg(F.count("*").alias("n"))
     pairs = distinct.select("label", "n", F.explode(pair_codes(F.col("token"))).alias("pair")).groupBy("label", "pair").agg(F.sum("n").alias("n"))
     grid = samples.sparkSession.range(2 * SYMBOLS * SYMBOLS).select(
         (F.col("id") % 2).cast("int").alias("label"), F.floor(F.col("id") / 2).cast("int").alias("pair")
     )
-    counted = grid.join(pairs, ["label", "pair"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.lit(PRIOR))
-    first = counted.groupBy("label", F.floor(F.col("pair") / SYMBOLS).alias("first")).agg(F.sum("n").alias("total"))
-    chance = counted.withColumn("first", F.floor(F.col("pair") / SYMBOLS)).join(first, ["label", "first"]).withColumn("log", F.log(F.col("n") / F.col("total")))
+    n = F.coalesce("n", F.lit(0))
+    counted = grid.join(pairs, ["label", "pair"], "left").select(
+        "label", "pair", n.alias("n"), F.floor(F.col("pair") / SYMBOLS).alias("first"), (F.col("pair") % SYMBOLS).alias("second")
+    )
+    firsts = counted.groupBy("label", "first").agg(F.sum("n").alias("n_first"))
+    seconds = counted.groupBy("label", "second").agg(F.sum("n").alias("n_second"))
+    totals = counted.groupBy("label").agg(F.sum("n").alias("total"))
+    alone = (F.col("n_second") + PRIOR) / (F.col("total") + PRIOR * SYMBOLS)
+    chance = counted.join(firsts, ["label", "first"]).join(seconds, ["label", "second"]).join(totals, "label").withColumn(
+        "log", F.log((F.col("n") + BACKOFF * alone) / (F.col("n_first") + BACKOFF))
+    )
     ratio = chance.groupBy("pair").agg(F.sum(F.when(F.col("label") == 1, F.col("log")).otherwise(-F.col("log"))).alias("ratio"))
     one = F.struct("pair", F.round(F.col("ratio") * UNITS).cast("int").alias("ratio"))
     return ratio.agg(F.sort_array(F.collect_list(one)).alias("r")).select(F.transform("r", lambda x: x["ratio"]).alias("ratios"))
