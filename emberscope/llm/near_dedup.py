@@ -102,14 +102,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("text_key", F.xxhash64("text"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of intersection and union of their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     union = F.size("set_a") + F.size("set_b") - shared
-    return both.where(100 * shared >= SIMILARITY * union).select("a", "b")
+    return both.select("a", "b", shared.alias("shared"), union.alias("union"))
+
+
+def similar(pairs: DataFrame) -> DataFrame:
+    """Those that are links."""
+    return pairs.where(100 * F.col("shared") >= SIMILARITY * F.col("union")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -136,9 +141,10 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFr
     """(node, label) of all representatives with a link to another one.
 
     A representative is first compared with the smallest one it meets in any band.  Buckets whose members
-    are then still in several components are compared pair by pair, but only pairs that can be links: in
-    size, and given how many of their shingles occur in any other text still open.  A copy with over 15 %
-    shingles of its own cannot be linked with anything, and so leaves its buckets, however large, at once.
+    are then still in several components are compared pair by pair, in the first band a pair shares, and only
+    pairs that can be links: given how many of their shingles occur in any other text still open (a copy with
+    over 15 % shingles of its own leaves its buckets, however large, at once), and given their distances from
+    a common text they were compared with, as Jaccard distance obeys the triangle inequality.
     """
     bands = nodes.join(signed.select("key1", "key2", "doc_id", "text_key", "bands"), ["key1", "key2"]).where("doc_id = node")
     bands = stage(bands.dropDuplicates(["node", "key1", "key2"]).select("node", "text_key", "n_shingles", "bands"), "representatives")
@@ -150,10 +156,11 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFr
     source = keyed(docs)
     own = source.join(active, (source["doc_id"] == active["node"]) & (source["text_key"] == active["text_key"])).select("node", "text")
     sets = stage(own.mapInArrow(_sets, "node long, n long, shingles array<long>"), "shingle-sets")
-    links = stage(verified(pairs, sets), "links")
+    judged = stage(compared(pairs, sets), "compared")
+    links = similar(judged)
     labels = components(links)
 
-    open_ = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = members.drop("leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = stage(open_.select("bucket", "node", "n_shingles", "label"), "open-members")
     mixed = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     open_ = stage(open_.join(stage(mixed, "mixed"), "bucket"), "open-members")
@@ -165,12 +172,22 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFr
     )
     open_ = open_.join(stage(alone, "alone"), "node", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
     open_ = stage(open_.where(100 * F.col("common") >= SIMILARITY * F.col("n_shingles")).drop("alone"), "open-members")
-    x = open_.select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("common").alias("c_a"), F.col("label").alias("l_a"))
-    y = open_.select("bucket", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("common").alias("c_b"), F.col("label").alias("l_b"))
-    most = F.least("c_a", "c_b")
-    possible = (F.col("l_a") < F.col("l_b")) & (100 * most >= SIMILARITY * (F.col("n_a") + F.col("n_b") - most))
-    more = x.hint("merge").join(y, (x["bucket"] == y["bucket"]) & possible).select("a", "b").distinct()
-    more = stage(verified(more, sets), "links")
+    pivots = judged.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("union")).alias("far"))
+    held = open_.select("node").distinct().join(bands.select("node", "bands"), "node").join(pivots, "node", "left")
+    held = stage(held.select("node", "bands", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far")), "pivots")
+    open_ = stage(open_.join(held, "node"), "open-members")
+    x, y = (
+        open_.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in open_.columns if c != "bucket"]) for side in "ab"
+    )
+    most = F.least("common_a", "common_b")
+    near = (F.col("pivot_a") != F.col("pivot_b")) | (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - SIMILARITY / 100 + 1e-9)
+    both = F.filter(F.zip_with("bands_a", "bands_b", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+    possible = (
+        (F.col("label_a") < F.col("label_b")) & near & (F.get(both, 0) == x["bucket"])
+        & (100 * most >= SIMILARITY * (F.col("n_shingles_a") + F.col("n_shingles_b") - most))
+    )
+    more = x.hint("merge").join(y, (x["bucket"] == y["bucket"]) & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    more = stage(similar(compared(more, sets)), "links")
     if more.limit(1).count() == 0:
         return labels
     return components(links.unionByName(more))
