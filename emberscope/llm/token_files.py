@@ -29,7 +29,7 @@ from emberscope.llm.shared import pieces, released_shuffles, shared_dir, stage,
 END_ID = 2
 SEQUENCE = 1024
 BATCH_SEQUENCES = 64
-CACHED_UNITS = 600_000
+CACHED_UNITS = 1_000_000
 BESIDE_SPACE = re.compile(r"\s |[ ]\s")
 
 
