@@ -53,10 +53,10 @@ def width_seconds(width: str) -> int:
 
 
 def bin_start(ts: Column, width: str = "1 hour") -> Column:
-    """Start of the tumbling window holding ``ts``, for widths that divide a day."""
+    """Start of the tumbling window holding ``ts``, for widths that divide a day; null for a null time."""
     if DAY_SECONDS % width_seconds(width):
         raise ValueError(f"{width} does not divide a day; use bin_start_from")
-    return F.window(ts, width)["start"]
+    return bin_start_from(ts, width, ts.cast("date").cast("timestamp_ntz"))
 
 
 def bin_start_from(ts: Column, width: str, origin: Column) -> Column:

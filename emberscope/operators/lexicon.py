@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberscope.session import shared_dir
+
 from emberscope.functions.scores import discretise_polarity, token_class, token_polarity
 from emberscope.functions.text import clean_for_lexicon, clean_for_terms, tokenize
 
@@ -38,6 +40,22 @@ def words_by_polarity(lexicon: DataFrame, max_words: int) -> dict[float, list[st
     return {p: sorted(words) for p, words in sorted(out.items())}
 
 
+def one_per_word(lexicon: DataFrame) -> DataFrame:
+    """The last polarity of every word, by ``line_no`` where there is one."""
+    order = "line_no" if "line_no" in lexicon.columns else F.monotonically_increasing_id()
+    placed = lexicon.where("word IS NOT NULL").select("word", "polarity", (F.col(order) if isinstance(order, str) else order).alias("_line"))
+    return placed.groupBy("word").agg(F.max_by("polarity", "_line").alias("polarity"))
+
+
+def _numbered(posts: DataFrame) -> DataFrame:
+    """The posts with a number each, stored once, so that both sides of a later join see the same numbers."""
+    spark = posts.sparkSession
+    rows = posts.withColumn("_post", F.monotonically_increasing_id())
+    path = shared_dir(spark, "numbered-posts")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def _one_of(words: list[str]) -> Callable[[Column], Column]:
     return lambda token: token.isin(words)
 
@@ -63,10 +81,12 @@ def token_weights(
 
     A lexicon of proven small size becomes literal word sets: every post is
     scored where it was read, without a join or a shuffle.  A larger one is
-    joined on exploded tokens and summed per post; the sum is combined inside
-    each partition before it moves.
+    joined on the counts of each post's distinct tokens and summed per post.  Both
+    give every row its own score, whatever its key: ``key`` is not needed and kept
+    for callers' sake.  A word listed twice counts once, a null text has no tokens.
     """
-    tokens = tokenizer(clean_for_lexicon(F.col(text)))
+    tokens = F.coalesce(tokenizer(clean_for_lexicon(F.col(text))), F.array().cast("array<string>"))
+    lexicon = one_per_word(lexicon)
     by_polarity = words_by_polarity(lexicon, inline_words)
     if by_polarity is not None:
         listed = posts.withColumn("_tokens", tokens)
@@ -77,18 +97,24 @@ def token_weights(
                 "word_count": F.size("_tokens").cast("bigint"),
             }
         ).drop("_tokens")
-    exploded = posts.select(*key, F.explode_outer(tokens).alias("word"))
+    numbered = _numbered(posts)
     p = F.col("polarity")
+    counted = numbered.select("_post", F.explode(tokens).alias("word")).groupBy("_post", "word").agg(F.count(F.lit(1)).alias("n"))
     sums = (
-        exploded.join(lexicon, "word", "left")
-        .groupBy(*key)
+        counted.join(lexicon, "word")
+        .groupBy("_post")
         .agg(
-            F.coalesce(F.sum(F.when(p > 0, p)), F.lit(0.0)).cast("double").alias("positive_score"),
-            F.coalesce(F.sum(F.when(p < 0, -p)), F.lit(0.0)).cast("double").alias("negative_score"),
-            F.count("word").alias("word_count"),
+            F.sum(F.when(p > 0, p * F.col("n"))).cast("double").alias("positive_score"),
+            F.sum(F.when(p < 0, -p * F.col("n"))).cast("double").alias("negative_score"),
         )
     )
-    return posts.join(sums, list(key))
+    return numbered.join(sums, "_post", "left").withColumns(
+        {
+            "positive_score": F.coalesce("positive_score", F.lit(0.0)),
+            "negative_score": F.coalesce("negative_score", F.lit(0.0)),
+            "word_count": F.size(tokens).cast("bigint"),
+        }
+    ).drop("_post")
 
 
 def with_token_sentiment(
@@ -128,6 +154,7 @@ def substring_score(
     of its word lengths; one too large for literals is joined on them.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    lexicon = one_per_word(lexicon)
     known = words_by_polarity(lexicon, inline_words)
     size = sum(map(len, known.values())) if known is not None else None
     if size is not None and size <= contains_words:
@@ -155,13 +182,14 @@ def substring_score(
         )
     lengths = [r[0] for r in lexicon.select(F.char_length("word")).distinct().collect()]
     grams = F.concat(*[_grams(body, n) for n in lengths])
+    numbered = _numbered(posts)
     hits = (
-        posts.select(*key, F.explode_outer(grams).alias("word"))
-        .join(lexicon, "word", "left")
-        .groupBy(*key)
-        .agg(F.coalesce(F.sum("polarity"), F.lit(0)).cast("bigint").alias("sentiment_score"))
+        numbered.select("_post", F.explode(grams).alias("word"))
+        .join(lexicon, "word")
+        .groupBy("_post")
+        .agg(F.sum("polarity").cast("bigint").alias("sentiment_score"))
     )
-    return posts.join(hits, list(key))
+    return numbered.join(hits, "_post", "left").withColumn("sentiment_score", F.coalesce("sentiment_score", F.lit(0).cast("bigint"))).drop("_post")
 
 
 def with_negative_flag(posts: DataFrame, score: str = "sentiment_score") -> DataFrame:

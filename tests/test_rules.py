@@ -378,3 +378,27 @@ def test_width_that_does_not_divide_a_day(spark):
     posts = timed(spark, [("t", at(1, 5), 1), ("t", at(1, 23), 1), ("t", at(2, 3), 1), ("u", at(2, 3), 1)], "n int")
     got = rows(ser.by_window(posts, "7 hours").agg(F.count("n")), "topic", "timestamp")
     assert got == [("t", at(1, 0), 1), ("t", at(1, 21), 2), ("u", at(2, 0), 1)]
+
+
+def test_lexicon_paths_agree_on_odd_rows(spark):
+    from emberscope.operators import lexicon as lex
+
+    posts = spark.createDataFrame(
+        [("1", "bad bad"), ("1", "good"), (None, "good bad day"), (None, None), ("2", ""), ("3", "none")], "tweet_id string, content string"
+    )
+    words = spark.createDataFrame([("bad", 1.0, 0), ("bad", -1.0, 1), ("good", 1.0, 2), ("day", 1.0, 3)], "word string, polarity double, line_no long")
+
+    def rows(df):
+        return sorted(map(str, (tuple(r) for r in df.select(*sorted(df.columns)).collect())))
+
+    tokens = [rows(lex.with_token_sentiment(posts, words, inline_words=n)) for n in (100, 0)]
+    assert tokens[0] == tokens[1] and len(tokens[0]) == 6
+    inside = [rows(lex.substring_score(posts, words, contains_words=c, inline_words=n)) for c, n in ((64, 100), (0, 100), (0, 0))]
+    assert inside[0] == inside[1] == inside[2] and len(inside[0]) == 6
+
+
+def test_hour_floor_keeps_rows_without_time(spark):
+    from emberscope.functions import times as tm
+
+    frame = spark.sql("SELECT * FROM VALUES (timestamp_ntz'2024-01-05 10:59:59'), (NULL) AS t(ts)")
+    assert sorted(str(r.h) for r in frame.select(tm.hour_floor(frame.ts).alias("h")).collect()) == ["2024-01-05 10:00:00", "None"]
