@@ -31,9 +31,9 @@ def by_window(posts: DataFrame, width: str = "1 hour", time: str = "timestamp",
         first = posts.groupBy(*keys).agg(
             F.to_date(F.min(time)).cast("timestamp_ntz").alias("_origin")
         )
-        binned = posts.join(first, list(keys)).withColumn(
-            "_bin", bin_start_from(F.col(time), width, F.col("_origin"))
-        )
+        first = first.withColumnsRenamed({k: f"_first_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_first_{k}")) for k in keys]
+        binned = posts.join(first, same).withColumn("_bin", bin_start_from(F.col(time), width, F.col("_origin")))
     return binned.filter(F.col("_bin").isNotNull()).groupBy(*keys, F.col("_bin").alias("timestamp"))
 
 

@@ -17,13 +17,14 @@ from emberscope.operators.sizing import hash_rank
 def stratified_split(
     df: DataFrame, label: str = "is_controversy", keys: Sequence[str] = ("topic", "timestamp"), test_share: float = 0.2
 ) -> DataFrame:
-    """Mark ``ceil(share * n)`` rows of each label as test rows."""
+    """Mark ``ceil(share * n)`` rows of each label as test rows; rows without a label are a group of their own."""
     ranked = hash_rank(df, keys, by=[label])
     sizes = df.groupBy(label).agg(F.ceil(F.count(F.lit(1)) * test_share).alias("_cut"))
+    sizes = sizes.withColumnRenamed(label, "_label")
     return (
-        ranked.join(sizes, label)
+        ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
         .withColumn("is_test", (F.col("rank") <= F.col("_cut")).cast("int"))
-        .drop("rank", "_cut")
+        .drop("rank", "_cut", "_label")
     )
 
 
