@@ -192,7 +192,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, **shares) -> DataFrame:
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
-    """The drawn rows themselves: each shard in a partition of its own, in an order random but repeatable."""
+    """The drawn rows themselves, shard after shard, each in an order random but repeatable.
+
+    Partitions are ranges of (shard, order), so a large shard takes as many tasks as it needs.
+    """
     drawn = mixed.select("row", F.posexplode("copies").alias("copy", "shard"))
     order = F.xxhash64(F.lit(SEED), "shard", "copy", F.col("row")["doc_id"])
-    return drawn.withColumn("order", order).repartition("shard").sortWithinPartitions("shard", "order").select("row.*")
+    return drawn.withColumn("order", order).repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").select("row.*")
