@@ -12,13 +12,46 @@ from pyspark.sql import functions as F
 DAY_SECONDS = 86400
 UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": DAY_SECONDS}
 OFFSET_PATTERN = r"([+-])(\d{2}):?(\d{2})$"
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+MONTH_NAMES = "(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"
+STAMP_PATTERN = rf"^[A-Za-z]{{3}} {MONTH_NAMES} (\d{{1,2}}) (\d{{2}}:\d{{2}}:\d{{2}}) ([+-]\d{{4}}) (\d{{4}})$"
+NAMED_PATTERN = rf"^{MONTH_NAMES}\.? (\d{{1,2}}),? (\d{{4}})(?:,? (\d{{1,2}}:\d{{2}}(?::\d{{2}})?))?$"
+
+
+def as_iso(text: Column) -> Column:
+    """Common ways to write a time, as ISO text; other text is unchanged.
+
+    Read are ``2024/01/05 10:00``, ``20240105``, ``Jan 5, 2024 10:00``, ``Sun Jan 29 14:25:37 +0000 2023``
+    and a closing ``UTC`` or ``GMT``.
+    """
+    bare = F.regexp_replace(F.trim(text), r"\s*(?:UTC|GMT)$", "")
+
+    def part(pattern: str, group: int) -> Column:
+        return F.regexp_extract(bare, pattern, group)
+
+    def date(pattern: str, year: int, month: int, day: int) -> Column:
+        number = F.floor((F.instr(F.lit(MONTHS), F.initcap(part(pattern, month))) + 2) / 3)
+        return F.concat_ws("-", part(pattern, year), F.lpad(number.cast("string"), 2, "0"), F.lpad(part(pattern, day), 2, "0"))
+
+    offset = F.regexp_replace(part(STAMP_PATTERN, 4), r"(\d{2})$", ":$1")
+    stamp = F.concat(date(STAMP_PATTERN, 5, 1, 2), F.lit(" "), part(STAMP_PATTERN, 3), offset)
+    named = F.rtrim(F.concat(date(NAMED_PATTERN, 3, 1, 2), F.lit(" "), part(NAMED_PATTERN, 4)))
+    return (
+        F.when(bare.rlike(r"^\d{4}-"), bare)
+        .when(bare.rlike(r"^\d{4}/"), F.regexp_replace(bare, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"))
+        .when(bare.rlike(r"^\d{8}$"), F.regexp_replace(bare, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
+        .when(bare.rlike(STAMP_PATTERN), stamp)
+        .when(bare.rlike(NAMED_PATTERN), named)
+        .otherwise(bare)
+    )
 
 
 def parse_utc(text: Column, strict: bool = False) -> Column:
-    """ISO text to UTC wall time; ``...Z`` and naive text are UTC, offsets are applied.
+    """Text to UTC wall time; ``...Z`` and naive text are UTC, offsets are applied.
 
     Unparsable text is null, or fails the job when ``strict``.
     """
+    text = as_iso(text)
     dated = text.rlike(r"\d{1,2}:\d{2}")
     wall = text.cast("timestamp_ntz") if strict else text.try_cast("timestamp_ntz")
     sign = F.when(F.regexp_extract(text, OFFSET_PATTERN, 1) == "-", -1).otherwise(1)

@@ -28,12 +28,9 @@ Scorer = Callable[[DataFrame], DataFrame]
 def standardise(spark: SparkSession, raw_path: str | Sequence[str], zone: str = "Asia/Tokyo", **read) -> DataFrame:
     """Raw CSV folders to de-duplicated standard posts with their topic."""
     raw = src.read_raw_posts(spark, raw_path, **read)
-    place = ["topic", "source_file", "file_offset", "row_pos"]
-    posts = cl.drop_undated(cl.standardize_posts(raw, zone, keep=place))
-    unique = dd.keep_first(
-        posts, ["topic", "tweet_id"], [F.col("source_file"), F.col("file_offset"), F.col("row_pos")]
-    )
-    return unique.drop("source_file", "file_offset", "row_pos")
+    place = ["source_path", "file_offset", "row_pos"]
+    posts = cl.drop_undated(cl.standardize_posts(raw, zone, keep=["topic", *place]))
+    return dd.keep_first(posts, ["topic", "tweet_id"], [F.col(c) for c in place]).drop(*place)
 
 
 def features(posts: DataFrame, sentiment: Scorer, stance: Scorer) -> DataFrame:

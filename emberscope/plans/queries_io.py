@@ -184,7 +184,8 @@ def _s18(t: Tables) -> DataFrame:
     per_model = t.importance.groupBy("model").agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("feature_importance")
     )
-    per_model.write.json(root)
+    record = F.to_json(F.struct(C("model").alias("model_name"), "feature_importance"), {"pretty": "true"})
+    per_model.select(C("model").alias("folder"), record.alias("value")).write.partitionBy("folder").text(root)
     return tab.read_importances(t.spark, root)
 
 

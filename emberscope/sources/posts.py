@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,11 +37,16 @@ def read_raw_posts(
     """Raw post CSVs as text columns, with topic, source file and row position.
 
     Lines starting with ``#`` are dropped and quoted text may span lines.
-    Rows that do not fit the schema are dropped, or kept with ``bad_row`` set
-    and their text in ``_corrupt``.  Text that spans lines needs
+    Files may have other columns than each other: with ``header`` one pass
+    over the lines finds the headers, files of the same header are read
+    together, and a column of ``schema`` that a file lacks is null.  Rows with
+    too few fields are filled with nulls.  Rows with surplus fields are
+    dropped, or kept with ``bad_row`` set and their text in ``_corrupt``.  The
+    topic is the folder below the given path.  Text that spans lines needs
     ``multi_line``, which reads each file in one task; without it files are
     split.
     """
+    roots = [paths] if isinstance(paths, str) else list(paths)
     options = {
         "header": str(header).lower(),
         "comment": "#",
@@ -46,29 +54,73 @@ def read_raw_posts(
         "multiLine": str(multi_line).lower(),
         "recursiveFileLookup": str(recursive).lower(),
         "pathGlobFilter": glob,
-        "enforceSchema": "false" if header else "true",
         "columnNameOfCorruptRecord": CORRUPT,
         "mode": "PERMISSIVE",
         # A pruned parse would not notice surplus fields.
         "columnPruning": "false",
     }
-    wanted = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.options(**options).schema(wanted).csv(paths)
-    # Dropping by mode would depend on the columns a query reads, and a test of the
-    # corrupt column alone is refused; the test therefore reads a data column too.
-    some_column = F.coalesce(F.col(schema.fields[0].name), F.lit(""))
-    bad = F.col(CORRUPT).isNotNull() | (some_column == "\0")
-    located = raw.select(
-        "*",
-        bad.alias("bad_row"),
-        file_topic(F.col("_metadata.file_path")).alias("topic"),
-        F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("file_offset"),
-        F.monotonically_increasing_id().alias("row_pos"),
-    )
+    variants = _header_variants(spark, roots, recursive, glob) if header else []
+
+    def read(names: Sequence[str], files: Sequence[str]) -> DataFrame:
+        fields = [T.StructField(n, T.StringType()) for n in [*names, CORRUPT]]
+        raw = spark.read.options(**options).schema(T.StructType(fields)).csv(list(files))
+        # Dropping by mode would depend on the columns a query reads, and a test of the
+        # corrupt column alone is refused; the test therefore reads a data column too.
+        some_column = F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))
+        outside_quotes = F.regexp_replace(CORRUPT, r'"(?:[^"]|"")*+"', "")
+        surplus = F.regexp_count(outside_quotes, F.lit(",")) >= len(names)
+        bad = F.coalesce(surplus, F.lit(False)) | (some_column == "\0")
+        return raw.select(
+            *[(F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast("string")).alias(f.name) for f in schema.fields],
+            CORRUPT,
+            bad.alias("bad_row"),
+            topic_below(F.col("_metadata.file_path"), roots).alias("topic"),
+            F.col("_metadata.file_name").alias("source_file"),
+            F.col("_metadata.file_path").alias("source_path"),
+            F.col("_metadata.file_block_start").alias("file_offset"),
+            F.monotonically_increasing_id().alias("row_pos"),
+        )
+
+    if len(variants) > 1:
+        located = reduce(DataFrame.unionByName, [read(names, files) for names, files in variants])
+    else:
+        located = read(variants[0][0] if variants else [f.name for f in schema.fields], roots)
     return located if keep_bad_rows else located.filter(~F.col("bad_row")).drop("bad_row", CORRUPT)
 
 
+def topic_below(path: Column, roots: Sequence[str]) -> Column:
+    """Folder of a file directly below one of ``roots``; its last folder if it lies in none of them deeper."""
+    found = []
+    for root in roots:
+        place = re.escape(re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", root).rstrip("/"))
+        folder = F.regexp_extract(F.url_decode(path), rf"^(?:[a-z0-9]+:(?://[^/]*)?)?{place}/([^/]+)/", 1)
+        found.append(F.nullif(F.regexp_replace(folder, "^topic=", ""), F.lit("")))
+    return F.coalesce(*found, file_topic(path))
+
+
+def _header_variants(spark: SparkSession, roots: Sequence[str], recursive: bool, glob: str) -> list[tuple[list[str], list[str]]]:
+    """Distinct headers (first line that is no comment) with their files.
+
+    The driver holds the file names, as Spark's own file listing does.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(list(roots))
+        .select(
+            F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"), F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"),
+        )
+        .filter("block = 0 AND line NOT LIKE '#%' AND trim(line) <> ''")
+    )
+    heads = lines.groupBy("path").agg(F.min_by("line", "pos").alias("line"))
+    found = heads.groupBy("line").agg(F.sort_array(F.collect_list("path")).alias("files")).orderBy("line").collect()
+    return [([n.strip().strip('"') for n in r["line"].split(",")], [_file_name(f) for f in r["files"]]) for r in found]
+
+
+def _file_name(uri: str) -> str:
+    """The path a reader takes for the encoded address of a file; pattern characters stand for themselves."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(uri))
+
+
 def read_comment_metadata(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv") -> DataFrame:
     """Query, collection time and row count from the ``# key: value`` lines of each file."""
     lines = (
@@ -166,7 +218,7 @@ def read_polarity_dictionary(spark: SparkSession, path: str, encodings: Sequence
     parts = lines.withColumn("p", F.split(F.trim("value"), ":")).filter(F.size("p") >= 4)
     graded = parts.select(
         F.col("p")[0].alias("word"),
-        discretise_polarity(F.col("p")[3].cast("double")).alias("polarity"),
+        discretise_polarity(F.col("p")[3].try_cast("double")).alias("polarity"),
         "line_no",
     )
     return graded.filter(F.col("polarity") != 0)

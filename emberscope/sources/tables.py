@@ -51,9 +51,12 @@ def write_json_row(spark: SparkSession, record: Mapping[str, Any], path: str) ->
 
 
 def read_importances(spark: SparkSession, path: str) -> DataFrame:
-    """Model metadata files to ``model, feature, importance``."""
-    meta = spark.read.schema("model string, feature_importance map<string,double>").json(path)
-    return meta.select("model", F.explode("feature_importance").alias("feature", "importance"))
+    """Model metadata files, one indented record each, to ``model, feature, importance``."""
+    schema = "model string, model_name string, feature_importance map<string,double>"
+    options = {"multiLine": "true", "recursiveFileLookup": "true"}
+    meta = spark.read.options(**options).schema(schema).json(path)
+    name = F.coalesce("model_name", "model").alias("model")
+    return meta.select(name, F.explode("feature_importance").alias("feature", "importance"))
 
 
 def save_model(model: PipelineModel, path: str, record: Mapping[str, Any]) -> None:

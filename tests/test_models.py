@@ -127,10 +127,50 @@ def test_raw_csv_rules(spark, tmp_path):
     assert (meta.topic, meta.query, meta.collected_at, meta.original_count) == ("松本", "松本 人志", "2025-01-01", None)
 
 
+def test_reader_unites_headers_and_fills_short_rows(spark, tmp_path):
+    deep = tmp_path / "original" / "松本 x" / "sub"
+    deep.mkdir(parents=True)
+    full = "date,id,url,content,user,user_displayname,reply_count,retweet_count,like_count\n"
+    (deep / "a.csv").write_text(full + '2023-01-29,1,u,"x, ""y"", z"\n2023-01-29,2,u,t,a,A,1,2,3,\n2023-01-29,3,u,t,a,A,1,2,3\n', encoding="utf-8")
+    (deep.parent / "a.csv").write_text("# note\n\ufeffid,content,date,lang\n4,hello,2023-01-29,en\n", encoding="utf-8")
+    for multi_line in (True, False):
+        raw = src.read_raw_posts(spark, str(tmp_path / "original"), multi_line=multi_line)
+        got = {r.id: (r.date, r.content, r.like_count, r.topic) for r in raw.collect()}
+        assert got == {
+            "1": ("2023-01-29", 'x, "y", z', None, "松本 x"),
+            "3": ("2023-01-29", "t", "3", "松本 x"),
+            "4": ("2023-01-29", "hello", None, "松本 x"),
+        }
+        assert raw.select("source_path").distinct().count() == 2
+
+
+def test_times_in_other_formats(spark):
+    from emberscope.functions.times import parse_utc
+
+    want = {
+        "2024/01/05 10:00:00": "2024-01-05 10:00:00", "Sun Jan 29 14:25:37 +0900 2023": "2023-01-29 05:25:37",
+        "Jan 5, 2024": "2024-01-05 00:00:00", "January 5 2024 09:05": "2024-01-05 09:05:00", "20240105": "2024-01-05 00:00:00",
+        "2024-01-05 10:00 UTC": "2024-01-05 10:00:00", "2024-01-05T10:00:00+09:00": "2024-01-05 01:00:00",
+        "2024-01-05T10:00:00.000Z": "2024-01-05 10:00:00", "Jam 5, 2024": None, "": None, "20241399": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "t string").select("t", parse_utc(F.col("t")).alias("at")).collect()
+    assert {r["t"]: r["at"] and str(r["at"]) for r in rows} == want
+
+
+def test_importance_of_indented_metadata(spark, tmp_path):
+    from emberscope.sources import tables as tab
+
+    for name in ("m1", "m2"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metadata.json").write_text('{\n "model_name": "%s",\n "feature_importance": {\n  "volume": 0.5\n }\n}' % name)
+    got = {tuple(r) for r in tab.read_importances(spark, str(tmp_path)).collect()}
+    assert got == {("m1", "volume", 0.5), ("m2", "volume", 0.5)}
+
+
 @pytest.mark.parametrize("encoding", ["cp932", "utf-8"])
 def test_polarity_dictionary_encodings(spark, tmp_path, encoding):
     path = tmp_path / "pn.dic"
-    path.write_bytes("良い:よい:形容詞:0.9\n悪い:わるい:形容詞:-0.51\n並:なみ:名詞:0.5\nbad line\n".encode(encoding))
+    path.write_bytes("良い:よい:形容詞:0.9\n悪い:わるい:形容詞:-0.51\n並:なみ:名詞:0.5\n変:へん:名詞:x\nbad line\n".encode(encoding))
     got = {r.word: r.polarity for r in src.read_polarity_dictionary(spark, str(path)).collect()}
     assert got == {"良い": 1, "悪い": -1}
 
