@@ -9,7 +9,7 @@ from emberscope.operators import cleaning as cl
 from emberscope.operators import modelling as mo
 from emberscope.plans import jobs
 from emberscope.plans.bindings import Tables
-from emberscope.plans.queries_models import COMPARISON_ROUNDS, training_rows
+from emberscope.plans.queries_models import training_rows
 from emberscope.plans.registry import query
 from emberscope.schemas import FEATURES_10, HEADER_KEYS, RAW_POST_COLUMNS
 from emberscope.session import shared_dir
@@ -229,6 +229,5 @@ def _raw_to_labelled(t: Tables) -> DataFrame:
 
 @query("unified_training")
 def _unified(t: Tables) -> DataFrame:
-    preset = mo.with_rounds({"unified": mo.UNIFIED}, COMPARISON_ROUNDS)["unified"]
-    result = jobs.train_unified(t.labelled, preset=preset)
+    result = jobs.train_unified(t.labelled)
     return result["metrics"].select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1")

@@ -28,8 +28,6 @@ from emberscope.schemas import (
 )
 
 C = F.col
-# Boosting rounds of the comparison queries; the presets' own value is 100.
-COMPARISON_ROUNDS = 20
 
 
 def training_rows(t: Tables) -> DataFrame:
@@ -69,8 +67,7 @@ def _m3(t: Tables) -> DataFrame:
 @query("m3_boosted_weighted")
 def _m3b(t: Tables) -> DataFrame:
     rows = training_rows(t)
-    preset = mo.with_rounds({"unified": mo.UNIFIED}, COMPARISON_ROUNDS)["unified"]
-    return mo.predict(mo.fit(rows, FEATURES_16, preset), rows, FEATURES_16)
+    return mo.predict(mo.fit(rows, FEATURES_16, mo.UNIFIED), rows, FEATURES_16)
 
 
 @query("m4_random_forest")
@@ -95,34 +92,29 @@ def _m8(t: Tables) -> DataFrame:
 
 @query("m10_cross_validation")
 def _m10(t: Tables) -> DataFrame:
-    preset = mo.with_rounds({"unified": mo.UNIFIED}, COMPARISON_ROUNDS)["unified"]
-    runs = {"unified": (FEATURES_16, preset)}
+    runs = {"unified": (FEATURES_16, mo.UNIFIED)}
     return mo.summarise(mo.cross_validate(training_rows(t), runs), ["model"])
 
 
 @query("m15_hold_out_topic_model")
 def _m15(t: Tables) -> DataFrame:
-    presets = mo.with_rounds({"cross_topic": mo.CROSS_TOPIC}, COMPARISON_ROUNDS)
-    rows = training_rows(t)
-    return mo.cross_topic(rows, FEATURES_17, presets, encode_topic=True)
+    return mo.cross_topic(training_rows(t), FEATURES_17, {"cross_topic": mo.CROSS_TOPIC}, encode_topic=True)
 
 
 @query("m16_model_topic_grid")
 def _m16(t: Tables) -> DataFrame:
-    return mo.cross_topic(training_rows(t), FEATURES_16, mo.with_rounds(mo.PRESETS, COMPARISON_ROUNDS))
+    return mo.cross_topic(training_rows(t), FEATURES_16, mo.PRESETS)
 
 
 @query("m17_importance")
 def _m17(t: Tables) -> DataFrame:
     rows = training_rows(t)
-    presets = mo.with_rounds(mo.PRESETS, COMPARISON_ROUNDS)
-    trained = mo.train_all(rows, FEATURES_10, {k: presets[k] for k in ("boosted_plain", "logistic", "rbf_svm")})
+    trained = mo.train_all(rows, FEATURES_16, mo.PRESETS)
     return mo.importance_table(trained, rows)
 
 
 def _ablation(t: Tables, sets: dict[str, list[str]]) -> DataFrame:
-    preset = mo.with_rounds({"a": mo.FEATURE_ABLATION}, COMPARISON_ROUNDS)["a"]
-    return mo.ablation(wide_rows(t), sets, preset)
+    return mo.ablation(wide_rows(t), sets, mo.FEATURE_ABLATION)
 
 
 @query("m18_feature_sets")
@@ -147,7 +139,7 @@ def _m18d(t: Tables) -> DataFrame:
 
 @query("m19_model_leaderboard")
 def _m19(t: Tables) -> DataFrame:
-    trained = mo.train_all(training_rows(t), FEATURES_16, mo.with_rounds(mo.PRESETS, COMPARISON_ROUNDS))
+    trained = mo.train_all(training_rows(t), FEATURES_16, mo.PRESETS)
     return mo.compare(trained)
 
 
