@@ -36,6 +36,7 @@ HEADLINE = [
     "m14_best_f1_threshold",
     "m5_logistic",
     "m4_random_forest",
+    "m19_model_leaderboard",
     "r1_streaming_features",
 ]
 
@@ -50,6 +51,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     for table in ("events", "documents", "labels"):
         spark.read.parquet(f"{folder}/{table}.parquet").count()
+    QUERIES[HEADLINE[0]](spark, folder).write.format("noop").mode("overwrite").save()  # start-up is not a query's time
     seconds = {}
     for name in HEADLINE:
         start = time.perf_counter()

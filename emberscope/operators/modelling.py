@@ -86,10 +86,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a stage table to the shared folder and read it back.
 
     Repeated fits then start from the small table, and losing an executor
-    costs no recomputation of the posts.
+    costs no recomputation of the posts.  Rows are dealt into files of an even,
+    worthwhile size: every round of a tree learner runs one task per file.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.hint("rebalance").write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -310,7 +311,7 @@ def train_all(df: DataFrame, features: Sequence[str], presets: dict[str, Preset]
 
 
 def compare(trained: Sequence[Trained]) -> DataFrame:
-    """Hold-out metrics, area and training time of each model, ranked by F1."""
+    """Hold-out metrics, binary and weighted by class, area and training time of each model, ranked by F1."""
     parts = [
         t.scored.withColumns(
             {
@@ -325,7 +326,7 @@ def compare(trained: Sequence[Trained]) -> DataFrame:
     scored = materialise(_union(parts), "hold-out")
     by = ["model", "threshold", "train_time"]
     table = met.with_binary_metrics(met.confusion(scored, by)).join(met.roc_auc(scored, ["model"]), "model")
-    return leaderboard(table)
+    return leaderboard(table.join(met.weighted_metrics(scored, ["model"]).drop("n"), "model"))
 
 
 def importances(trained: Trained) -> list[tuple[str, float]] | None:

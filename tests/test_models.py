@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberscope.operators import metrics as met
 from emberscope.operators import modelling as mo
 from emberscope.operators import scoring as sco
 from emberscope.operators import series as ser
@@ -38,8 +39,7 @@ def test_presets_learn(separable, name):
     scored = mo.predict(mo.fit(separable, FEATURES, preset), separable, FEATURES)
     bounds = scored.agg(F.min("probability"), F.max("probability")).first()
     assert 0 <= bounds[0] <= bounds[1] <= 1
-    hit = scored.filter((C("probability") >= 0.5).cast("int") == C("label")).count()
-    assert hit / scored.count() > 0.83
+    assert met.roc_auc(scored).first()["roc_auc"] > 0.99  # 0.5 for a model that says the same of every row
 
 
 def test_oversampling_balances_inside_segments(separable):
@@ -76,6 +76,7 @@ def test_train_and_compare(separable):
     trained = mo.train_all(separable, FEATURES, {"logistic": mo.PRESETS["logistic"]})
     row = mo.compare(trained).first()
     assert row.tp + row.fp + row.fn + row.tn == 48 and row.f1 > 0.8 and row["rank"] == 1
+    assert abs(row.weighted_recall - row.accuracy) < 1e-9 and 0 < row.weighted_f1 <= 1
 
 
 def test_current_score_of_an_empty_topic(spark):
@@ -103,7 +104,8 @@ def test_stance_model_names_travel(spark, sf_dir):
     assert scored.filter(F.abs(total - 1) > 1e-6).count() == 0
     best = F.greatest("stance_against", "stance_favor", "stance_neutral")
     assert scored.filter((C("stance_label") == "FAVOR") & (C("stance_favor") < best)).count() == 0
-    assert scored.filter(C("label") == C("stance_label")).count() / scored.count() > 0.55
+    majority = scored.groupBy("label").count().agg(F.max("count")).first()[0] / scored.count()
+    assert scored.filter(C("label") == C("stance_label")).count() / scored.count() > majority + 0.05
 
 
 def test_raw_csv_rules(spark, tmp_path):
