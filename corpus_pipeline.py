@@ -15,6 +15,7 @@ from emberscope.llm.shared import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "byte_bpe_50k.json"
+SIMILARITY = 80  # percent of shared runs of five words from which the stage takes two texts for copies
 
 
 def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near-duplicates."""
-    return keep(docs, near_dedup.near_duplicates(docs))
+    return keep(docs, near_dedup.near_duplicates(docs, SIMILARITY))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

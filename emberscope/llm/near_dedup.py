@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from emberscope.llm.shared import mix, pieces, split_words, stage, texts, windows, word_hashes
 
 SHINGLE = 5
-SIMILARITY = 85  # percent
+SIMILARITY = 85  # percent, unless the caller names another
 COORDINATES = 128
 ROWS = 4
 UNIVERSE = 1 << 21
@@ -112,9 +112,9 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", shared.alias("shared"), union.alias("union"))
 
 
-def similar(pairs: DataFrame) -> DataFrame:
-    """Those that are links."""
-    return pairs.where(100 * F.col("shared") >= SIMILARITY * F.col("union")).select("a", "b")
+def similar(pairs: DataFrame, percent: int) -> DataFrame:
+    """Those that are links: at least ``percent`` of the union is shared."""
+    return pairs.where(100 * F.col("shared") >= percent * F.col("union")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,13 +137,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_nodes(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+def linked_nodes(docs: DataFrame, signed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all representatives with a link to another one.
 
     A representative is first compared with the smallest one it meets in any band.  Buckets whose members
     are then still in several components are compared pair by pair, in the first band a pair shares, and only
     pairs that can be links: given how many of their shingles occur in any other text still open (a copy with
-    over 15 % shingles of its own leaves its buckets, however large, at once), and given their distances from
+    under ``percent`` % shingles that others have leaves its buckets, however large, at once), and given their distances from
     a common text they were compared with, as Jaccard distance obeys the triangle inequality.
     """
     bands = nodes.join(signed.select("key1", "key2", "doc_id", "text_key", "bands"), ["key1", "key2"]).where("doc_id = node")
@@ -157,7 +157,7 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFr
     own = source.join(active, (source["doc_id"] == active["node"]) & (source["text_key"] == active["text_key"])).select("node", "text")
     sets = stage(own.mapInArrow(_sets, "node long, n long, shingles array<long>"), "shingle-sets")
     judged = stage(compared(pairs, sets), "compared")
-    links = similar(judged)
+    links = similar(judged, percent)
     labels = components(links)
 
     open_ = members.drop("leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -171,7 +171,7 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFr
         .groupBy("node").agg(F.count("*").alias("alone"))
     )
     open_ = open_.join(stage(alone, "alone"), "node", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    open_ = stage(open_.where(100 * F.col("common") >= SIMILARITY * F.col("n_shingles")).drop("alone"), "open-members")
+    open_ = stage(open_.where(100 * F.col("common") >= percent * F.col("n_shingles")).drop("alone"), "open-members")
     pivots = judged.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("union")).alias("far"))
     held = open_.select("node").distinct().join(bands.select("node", "bands"), "node").join(pivots, "node", "left")
     held = stage(held.select("node", "bands", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far")), "pivots")
@@ -180,22 +180,25 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFr
         open_.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in open_.columns if c != "bucket"]) for side in "ab"
     )
     most = F.least("common_a", "common_b")
-    near = (F.col("pivot_a") != F.col("pivot_b")) | (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - SIMILARITY / 100 + 1e-9)
+    near = (F.col("pivot_a") != F.col("pivot_b")) | (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9)
     both = F.filter(F.zip_with("bands_a", "bands_b", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
     possible = (
         (F.col("label_a") < F.col("label_b")) & near & (F.get(both, 0) == x["bucket"])
-        & (100 * most >= SIMILARITY * (F.col("n_shingles_a") + F.col("n_shingles_b") - most))
+        & (100 * most >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b") - most))
     )
     more = x.hint("merge").join(y, (x["bucket"] == y["bucket"]) & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    more = stage(similar(compared(more, sets)), "links")
+    more = stage(similar(compared(more, sets), percent), "links")
     if more.limit(1).count() == 0:
         return labels
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept.
 
+    Two texts are linked if their sets have a Jaccard similarity of ``percent`` % or more.  The bands miss a
+    pair of 80 % with a chance of 5e-8 and a closer one less often.
+
     Texts with the same set are one representative, the smallest id, so copies cost one row each and never
     a pair.  Null and empty texts have an empty set and are linked with nothing.  A null id links nothing:
     its component is null and it is kept.  Rows with the same id are judged by their own texts.  Other
@@ -204,7 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stage(keyed(docs).mapInArrow(_sign, SIGNED), "signatures")
     sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = stage(sets.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("node")), "sets")
-    labels = linked_nodes(docs, signed.drop("n_shingles"), nodes)
+    labels = linked_nodes(docs, signed.drop("n_shingles"), nodes, percent)
     placed = stage(nodes.join(labels, "node", "left").select("key1", "key2", F.coalesce("label", "node").alias("label")), "components")
     rows = signed.select("doc_id", "n_shingles", "key1", "key2").join(placed, ["key1", "key2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))

@@ -83,7 +83,7 @@ def op3(spark, sf_dir):
 
 @query("op5_circulant_minhash_dedup")
 def op5(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.SIMILARITY)
 
 
 @query("op6_splitting_tree_mix")

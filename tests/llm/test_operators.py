@@ -226,6 +226,16 @@ def test_chain_of_links_is_one_component(spark):
     assert {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
 
 
+def test_near_duplicate_stage_links_from_80_percent(spark):
+    words, rows = [f"v{i}" for i in range(404)], []  # 400 runs of five words
+    for i, own in enumerate((0, 40, 44, 48)):  # the last words differ: J = 1, 0.818, 0.802, 0.786
+        rows.append((i, " ".join(words[: 404 - own] + [f"own{i}x{j}" for j in range(own)]), "en", "s", 1))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in near_dedup.near_duplicates(frame).where("kept").collect()} == {0, 1, 2, 3}
+    assert {r.doc_id for r in near_dedup.near_duplicates(frame, 80).where("kept").collect()} == {0, 3}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()} == {0, 3}
+
+
 def test_hypergeometric_draws(spark):
     from pyspark.sql import functions as F
 
