@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberscope.llm.shared import pieces, ranges, stage, texts
@@ -25,6 +25,7 @@ INDEX_BYTES = 8 << 20
 EDGES = b".,;:!?\"'()[]{}"
 SENTENCE = re.compile(rb"[.?!]\s+|\n+")
 SLACK = 1e-9
+FOUND = "doc_id long, text_key long, item_id long, overlap double, score double"
 
 
 def item_words(text: bytes) -> list[bytes]:
@@ -207,7 +208,7 @@ class Index:
 
 def _matches(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        ids = batch.column("doc_id").to_pylist()
+        ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
         words, bounds = [], np.zeros(len(ids) + 1, np.int64)
         for i, value in enumerate(batch.column("text").to_pylist()):
             words += (value or b"").lower().split()
@@ -234,34 +235,55 @@ def _matches(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Rec
                     if share:
                         known = best.get((text, item), (0.0, 0.0))
                         best[text, item] = (max(known[0], share), max(known[1], score))
-        rows = [(ids[t], index.ids[i], share, score) for (t, i), (share, score) in best.items()]
-        columns = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())],
-            names=["doc_id", "item_id", "overlap", "score"],
-        )
+        rows = [(ids[t], keys[t], index.ids[i], share, score) for (t, i), (share, score) in best.items()]
+        columns = list(zip(*rows)) or [()] * 5
+        kinds = [pa.int64()] * 3 + [pa.float64()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """One row per document and test item it leaks: doc_id, item_id, overlap, score (best passage of each).
+def text_key() -> Column:
+    """What tells apart the rows that have no id."""
+    return F.xxhash64(F.col("text").cast("binary"))
+
+
+def found(docs: DataFrame, benchmark: DataFrame, index_bytes: int) -> DataFrame:
+    """One row per row of ``docs`` and test item it leaks, with the key of the text that leaks it.
 
     Items are indexed in shares of about ``index_bytes`` of text; each share's index, of that bounded size, is
-    broadcast and all documents are read against it.  Items without words match nothing; null and empty
-    texts hold nothing; repeated rows give one row; null ids are kept as they are; other columns are ignored.
+    broadcast and all documents are read against it.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shares = max(1, -(-size // index_bytes))
-    found = []
+    keyed = texts(docs).withColumn("text_key", text_key())
+    parts = []
     for share in range(shares):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)) == share).distinct().collect()
         index = spark.sparkContext.broadcast(Index(sorted(((r[0], bytes(r[1])) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
-        found.append(texts(docs).mapInArrow(lambda b, index=index: _matches(b, index.value), "doc_id long, item_id long, overlap double, score double"))
-    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"), F.round(F.max("score"), 6).alias("score"))
+        parts.append(keyed.mapInArrow(lambda b, index=index: _matches(b, index.value), FOUND))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """One row per document and test item it leaks: doc_id, item_id, overlap, score (best passage of each).
+
+    Items without words match nothing; null and empty texts hold nothing; repeated rows give one row; null
+    ids are kept as they are; other columns are ignored.
+    """
+    rows = found(docs, benchmark, index_bytes)
+    return rows.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"), F.round(F.max("score"), 6).alias("score"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no test item, with all their columns."""
-    leaks = stage(contamination(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """The documents that leak no test item, with all their columns.
+
+    Rows with the same id are one document: a leak in one of them removes all.  A null id names no document,
+    so each row without an id is judged by its own text.
+    """
+    leaks = found(docs, benchmark, INDEX_BYTES)
+    leaks = leaks.select(F.col("doc_id").alias("_leak"), F.when(F.col("doc_id").isNull(), F.col("text_key")).alias("_leak_key"))
+    leaks = stage(leaks.distinct(), "leaks")
+    doc_id = docs["doc_id"].cast("long")
+    same = doc_id.eqNullSafe(F.col("_leak")) & F.when(doc_id.isNull(), text_key()).eqNullSafe(F.col("_leak_key"))
+    return docs.join(leaks, same, "left_anti")

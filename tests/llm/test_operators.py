@@ -343,6 +343,14 @@ def test_contamination(spark, docs):
     assert left == Counter([*range(10, 20), 32, 33])
 
 
+def test_decontamination_judges_each_row_without_id(spark):
+    item, clean = prose(40, 801), [prose(200, 810 + i) for i in range(3)]
+    rows = [(None, clean[0]), (None, clean[1] + " " + item), (None, None), (6, clean[2]), (7, item)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert Counter(map(tuple, decontaminate.decontaminate(frame, bench).collect())) == Counter([rows[0], rows[2], rows[3]])
+
+
 def test_token_files(spark, docs, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
