@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontaminate, line_crf, mixing, near_dedup, quality, role_repair, secret_scan, substring_dedup, token_counts, token_files
+from emberscope.llm import (
+    decontaminate, importance, line_crf, mixing, near_dedup, packing, quality, role_repair, secret_scan, structure_repair, substring_dedup,
+    token_counts, token_files,
+)
 from emberscope.llm.registry import LLM_QUERIES, LLM_SQL, query, table
 
 __all__ = ["LLM_QUERIES", "LLM_SQL"]
@@ -106,3 +109,19 @@ def op4(spark, sf_dir):
 @query("op7_role_repair_format")
 def op7(spark, sf_dir):
     return role_repair.repair(table(spark, sf_dir, "conversations")).drop("position")
+
+
+@query("op11_crc_importance_resampling")
+def op11(spark, sf_dir):
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_residual_best_fit_packing")
+def op12(spark, sf_dir):
+    return packing.placements(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op13_suffix_automaton_repair")
+def op13(spark, sf_dir):
+    return structure_repair.repair(table(spark, sf_dir, "conversations"), damaged=True)
