@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from threading import Lock
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +20,30 @@ BATCH_BYTES = 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_HELD = {"lock": Lock(), "writers": 0, "before": None}
+
+
 @contextmanager
 def released_shuffles(spark: SparkSession):
-    """Drop the shuffle files of a query as soon as its result is stored."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    """Drop the shuffle files of a query as soon as its result is stored.
+
+    The setting belongs to the session, so the first of several writers sets it and the last one puts it back.
+    """
+    with _HELD["lock"]:
+        if not _HELD["writers"]:
+            _HELD["before"] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _HELD["writers"] += 1
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        with _HELD["lock"]:
+            _HELD["writers"] -= 1
+            if not _HELD["writers"]:
+                if _HELD["before"] is None:
+                    spark.conf.unset(CLEANUP)
+                else:
+                    spark.conf.set(CLEANUP, _HELD["before"])
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
