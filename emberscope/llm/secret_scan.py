@@ -1,8 +1,8 @@
 """Secrets: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-DataFrame functions only.  One pass over the texts keeps the matches of each pattern and the lengths of what
-lies between them; the models are trained on these matches, and only strings that the log-likelihood ratio
-calls random are given a position.
+DataFrame functions only.  Texts are cut into pieces of some thousand characters where no match can go on, so the
+work grows with a text's length however many hits it has.  One pass over the pieces keeps the matches of each
+pattern; the models are trained on these matches and then judge the strings that touch no pattern.
 """
 
 from __future__ import annotations
@@ -22,7 +22,13 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: The same matches without those too short: such runs are maximal, so a bound on the length drops whole runs.
 SEARCHED = PATTERNS | {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 KINDS = [*PATTERNS, "markov"]
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
+LEAST_CANDIDATE = 16
+#: A piece has this many characters, and then all up to a place where no match goes on: after a character that is
+#: part of none, or after a space that follows a letter or digit but no name of a secret.
+PIECE = 4096
+NAMES = "(?i:password|passwd|secret|token|api_?key)"
+CUT = rf"""[^A-Za-z0-9+/_.=:"'\x20-]|(?<=[A-Za-z0-9])(?<!{NAMES.replace('api_?key', 'api_key|apikey')})\x20"""
+GROUP = 64
 LOW, HIGH = ord("+"), ord("z")
 SYMBOLS = HIGH - LOW + 1
 UNITS = 1000
@@ -31,6 +37,30 @@ PRIOR = 0.2
 BACKOFF = 8.0
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row, however often a lambda refers to them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def pieces(texts: DataFrame) -> DataFrame:
+    """One row per piece of ``text``, with the number of characters before it; an empty text is one empty piece."""
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s).{{{PIECE},}}?(?:{CUT}|\z)|.+"), F.lit(0))
+    cut = F.when(F.length("text") <= PIECE, F.array("text")).otherwise(cut)
+    rows = once(texts, parts=cut).drop("text")
+    rows = once(rows, lengths=F.transform("parts", F.length))
+    total = lambda first, n: F.aggregate(F.slice("lengths", first, n), F.lit(0), lambda a, x: a + x)
+    groups = F.sequence(F.lit(0), F.floor((F.size("lengths") - 1) / GROUP).cast("int"))
+    rows = once(rows, groups=F.transform(groups, lambda j: total(F.lit(1), j * GROUP)))
+    own = lambda i: F.floor(i / GROUP).cast("int")
+    before = F.transform(
+        F.sequence(F.lit(0), F.size("lengths") - 1), lambda i: F.get("groups", own(i)) + total(own(i) * GROUP + 1, i - own(i) * GROUP)
+    )
+    rows = once(rows, before=before).drop("lengths", "groups")
+    return rows.withColumn("part", F.explode(F.arrays_zip("parts", "before"))).select(
+        *[c for c in texts.columns if c != "text"], F.col("part.parts").alias("piece"), F.col("part.before").alias("before")
+    )
+
+
 def matches(text: str, pattern: str) -> Column:
     """Struct of the matches and the lengths of the stretches before, between and after them."""
     empty = F.struct(F.array().cast("array<string>").alias("hits"), F.array().cast("array<int>").alias("gaps"))
@@ -42,10 +72,10 @@ def matches(text: str, pattern: str) -> Column:
 
 
 def spans(found: Column, kind: int, wanted) -> Column:
-    """(start, kind, end, value) of the matches that are ``wanted``, in code points."""
+    """(start, kind, end, value) of a piece's matches that are ``wanted``, in code points of the text."""
 
     def at(i):
-        before = F.aggregate(F.slice(found["gaps"], 1, i + 1), F.lit(0), lambda a, x: a + x)
+        before = F.aggregate(F.slice(found["gaps"], 1, i + 1), F.col("before"), lambda a, x: a + x)
         start = F.aggregate(F.slice(found["hits"], 1, i), before, lambda a, x: a + F.length(x))
         value = F.element_at(found["hits"], i + 1)
         return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"))
@@ -95,39 +125,52 @@ def train(samples: DataFrame) -> DataFrame:
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """Samples from the matches: values of the fixed patterns are random strings, other candidates ordinary.
+    """Samples from the matches: values of the fixed patterns are random strings, candidates that touch none ordinary.
 
-    Every candidate string counts once per text it is in; one that is also part of a pattern's match is no sample of 0.
+    Every candidate string counts as often as it stands somewhere.
     """
     value = F.regexp_replace(F.col("b.value"), PATTERNS["assign"], "$2")
     secret = found.select(F.explode("base").alias("b")).select(F.explode(F.regexp_extract_all(value, F.lit(r"[A-Za-z0-9+/_-]{6,}"), F.lit(0))).alias("token"), F.lit(1).alias("label"))
-    inside = lambda t: F.exists("base", lambda b: F.contains(b["value"], t))
-    plain = found.select(F.explode(F.filter("candidates.hits", lambda t: ~inside(t))).alias("token"), F.lit(0).alias("label"))
+    plain = found.select(F.explode("candidates").alias("c")).select(F.col("c.value").alias("token"), F.lit(0).alias("label"))
     return secret.unionByName(plain)
 
 
-def scan(docs: DataFrame, samples: DataFrame | None = None, ratio: int = RATIO) -> DataFrame:
+def found_in(docs: DataFrame, least: int) -> DataFrame:
+    """Per row: doc_id, ``base``, the spans of the fixed patterns, and ``candidates``, those of strings that touch none."""
+    text = docs.select(
+        F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")
+    )
+    columns = {f"m_{k}": matches("piece", p) for k, p in SEARCHED.items()}
+    found = pieces(text).select("row", "doc_id", "before", matches("piece", rf"[A-Za-z0-9+/_-]{{{least},}}").alias("strings"), *[c.alias(n) for n, c in columns.items()])
+    base = F.concat(*[spans(F.col(f"m_{k}"), i, base_wanted(k)) for i, k in enumerate(PATTERNS)])
+    each = once(found, base_at=base, strings_at=spans(F.col("strings"), len(PATTERNS), lambda hit: F.lit(True)))
+    clear = F.filter("strings_at", lambda m: ~F.exists("base_at", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
+    # A text's pieces are read by one task, so most of this is put together before it is moved.
+    return each.groupBy("row", "doc_id").agg(
+        F.flatten(F.collect_list("base_at")).alias("base"), F.flatten(F.collect_list(clear)).alias("candidates")
+    ).drop("row")
+
+
+def scan(docs: DataFrame, samples: DataFrame | None = None, ratio: int = RATIO, least: int = LEAST_CANDIDATE) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans and ``found``, the spans as structs.
 
     ``samples`` (token, label) replaces the ones taken from the documents; ``ratio`` is the least log-likelihood
-    ratio, in thousandths, of a random string.  Spans of the Markov models that touch one of the fixed
+    ratio, in thousandths, of a random string.  Strings of letters, digits and ``+/_-`` shorter than ``least``
+    are not judged by the models.  Spans of the Markov models that touch one of the fixed
     patterns are left out.  Null and empty texts have no spans; repeated rows are each scanned; ids may be
-    null; other columns are ignored; no rows give no rows.
+    null; other columns are ignored; no rows give no rows.  The work grows with the length of a text, however
+    many hits it has, but for a text that has no place to cut.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = F.concat(*[spans(F.col(f"m_{k}"), i, base_wanted(k)) for i, k in enumerate(PATTERNS)])
-    found = text.select("doc_id", matches("text", CANDIDATE).alias("candidates"), *[matches("text", p).alias(f"m_{k}") for k, p in SEARCHED.items()])
-    found = stage(found.select("doc_id", "candidates", base.alias("base")), "secret-matches")
+    found = stage(found_in(docs, least), "secret-matches")
     ratios = stage(train(labelled(found) if samples is None else samples), "markov-ratios").scalar()
 
     def random(token):
         return F.aggregate(pair_codes(token), F.lit(0), lambda a, p: a + F.get("ratios", p)) >= ratio
 
-    scored = found.withColumn("ratios", ratios).withColumn("markov", spans(F.col("candidates"), len(PATTERNS), random))
-    clear = F.filter("markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
+    scored = found.withColumn("ratios", ratios).withColumn("markov", F.filter("candidates", lambda c: random(c["value"])))
     names = F.array(*map(F.lit, KINDS))
     written = lambda s: F.array_join(F.transform(F.sort_array(s), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
-    every = F.concat("base", clear)
+    every = F.concat("base", "markov")
     count = lambda k: F.size(F.filter("every", lambda x: x["kind"] == k)).cast("long")
     return scored.withColumn("every", every).select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
