@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberscope.llm.shared import mix, pieces, split_words, stage, texts, windows, word_hashes
@@ -98,8 +98,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(bounds)), sets], names=["node", "n", "shingles"])
 
 
+def text_key(text: Column) -> Column:
+    """What tells apart rows with the same id."""
+    return F.xxhash64(text.cast("binary"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("text_key", F.xxhash64("text"))
+    return texts(docs).withColumn("text_key", text_key(F.col("text")))
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -138,24 +143,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_nodes(docs: DataFrame, signed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of all representatives with a link to another one.
+    """(node, label) of all sets with a link to another one; ``nodes`` numbers the sets and names a row of each.
 
-    A representative is first compared with the smallest one it meets in any band.  Buckets whose members
+    A set is first compared with the smallest one it meets in any band.  Buckets whose members
     are then still in several components are compared pair by pair, in the first band a pair shares, and only
     pairs that can be links: given how many of their shingles occur in any other text still open (a copy with
     under ``percent`` % shingles that others have leaves its buckets, however large, at once), and given their distances from
     a common text they were compared with, as Jaccard distance obeys the triangle inequality.
     """
-    bands = nodes.join(signed.select("key1", "key2", "doc_id", "text_key", "bands"), ["key1", "key2"]).where("doc_id = node")
-    bands = stage(bands.dropDuplicates(["node", "key1", "key2"]).select("node", "text_key", "n_shingles", "bands"), "representatives")
+    named = nodes.select("node", "n_shingles", F.col("key1").alias("k1"), F.col("key2").alias("k2"), F.col("first_id").alias("of"))
+    same = (signed["key1"] == named["k1"]) & (signed["key2"] == named["k2"]) & signed["doc_id"].eqNullSafe(named["of"])
+    bands = signed.drop("n_shingles").join(named, same).select("node", "of", "text_key", "n_shingles", "bands")
+    bands = stage(bands.dropDuplicates(["node"]), "representatives")
     flat = bands.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = flat.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
     members = stage(flat.join(stage(shared, "buckets"), "bucket"), "members")
     pairs = members.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b")).where("a <> b")
-    active = members.select("node").distinct().join(bands.select("node", "text_key"), "node")
+    active = members.select("node").distinct().join(bands.select("node", "of", F.col("text_key").alias("key")), "node")
     source = keyed(docs)
-    own = source.join(active, (source["doc_id"] == active["node"]) & (source["text_key"] == active["text_key"])).select("node", "text")
-    sets = stage(own.mapInArrow(_sets, "node long, n long, shingles array<long>"), "shingle-sets")
+    own = source.join(active, source["doc_id"].eqNullSafe(active["of"]) & (source["text_key"] == active["key"]))
+    own = own.select("node", "text").distinct()  # copies under one id, or without one, are dropped where they are read
+    sets = stage(own.mapInArrow(_sets, "node long, n long, shingles array<long>").dropDuplicates(["node"]), "shingle-sets")
     judged = stage(compared(pairs, sets), "compared")
     links = similar(judged, percent)
     labels = components(links)
@@ -193,24 +201,59 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, nodes: DataFrame, percent:
     return components(links.unionByName(more))
 
 
+def classes(docs: DataFrame, percent: int, with_null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed rows, sets, links): per row its set's keys; per set a number ``node`` and its smallest id ``first_id``;
+    per set with a link the component's ``label``.
+
+    Equal sets are one node, so copies cost one row each and never a pair.  Nodes are numbers of their own, so
+    rows with the same id or without one are judged by their own texts.
+    """
+    signed = stage(keyed(docs).mapInArrow(_sign, SIGNED), "signatures")
+    some = signed.where("n_shingles > 0") if with_null_ids else signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    nodes = some.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("first_id"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
+    return signed, nodes, linked_nodes(docs, signed, nodes, percent)
+
+
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept.
 
     Two texts are linked if their sets have a Jaccard similarity of ``percent`` % or more.  The bands miss a
     pair of 80 % with a chance of 5e-8 and a closer one less often.
 
-    Texts with the same set are one representative, the smallest id, so copies cost one row each and never
-    a pair.  Null and empty texts have an empty set and are linked with nothing.  A null id links nothing:
+    Null and empty texts have an empty set and are linked with nothing.  A null id links nothing:
     its component is null and it is kept.  Rows with the same id are judged by their own texts.  Other
     columns are ignored; no rows give no rows.
     """
-    signed = stage(keyed(docs).mapInArrow(_sign, SIGNED), "signatures")
-    sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = stage(sets.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("node")), "sets")
-    labels = linked_nodes(docs, signed.drop("n_shingles"), nodes, percent)
-    placed = stage(nodes.join(labels, "node", "left").select("key1", "key2", F.coalesce("label", "node").alias("label")), "components")
+    signed, nodes, labels = classes(docs, percent, False)
+    linked = nodes.join(labels, "node")
+    least = linked.groupBy("label").agg(F.min("first_id").alias("least"))
+    linked = stage(linked.join(least, "label").select("node", "least"), "components")
+    placed = nodes.join(linked, "node", "left").select("key1", "key2", F.coalesce("least", "first_id").alias("label"))
     rows = signed.select("doc_id", "n_shingles", "key1", "key2").join(placed, ["key1", "key2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """One row of every group of near-duplicates, with all its columns: that of the smallest id (null last).
+
+    Rows are judged, not ids: of equal texts under one id, or without an id, one row stays; an id with several
+    texts keeps each that no other row stands for.  Rows without words are in no group and all stay.  Columns
+    may have any names.
+    """
+    signed, nodes, labels = classes(docs, percent, True)
+    grouped = nodes.join(labels, "node", "left").select("key1", "key2", F.coalesce("label", "node").alias("label"))
+    rows = signed.where("n_shingles > 0").select("doc_id", "text_key", "key1", "key2").join(grouped, ["key1", "key2"])
+    counted = rows.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    best = counted.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("best"))
+    wordless = signed.where("n_shingles = 0").select("doc_id", "text_key").distinct()
+    winners = best.select("best.doc_id", "best.text_key", "best.n").unionByName(wordless.withColumn("n", F.lit(1).cast("long")))
+    winners = stage(winners.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("n").alias("_n")), "winners")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    this = F.col("row")["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_key(F.col("row")["text"]) == F.col("_key"))
+    found = whole.join(winners, this)
+    once = found.where("_n > 1").dropDuplicates(["_id", "_key"])
+    return found.where("_n = 1").unionByName(once).select("row.*")
