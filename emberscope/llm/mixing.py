@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Everything is DataFrame functions.  Documents fall into blocks by a hash of their id, so a block is a random
-handful of its source.  A source gives whole passes over its blocks and, for the rest of its target, a prefix
+Everything is DataFrame functions.  Rows fall into blocks by a hash of their id, source, text and number among
+equal rows, so a block is a random handful of its source even if rows share an id or have none.  A source gives whole passes over its blocks and, for the rest of its target, a prefix
 of them; these draws are its exact quota of blocks.  A tree over the output shards splits the quotas in two,
 and again, each time by a multivariate hypergeometric draw, and every leaf takes its quota as disjoint blocks.
 """
@@ -23,15 +23,59 @@ BLOCK_DOCUMENTS = 256
 GROUP_BLOCKS = 512
 SEED = 17
 SPREAD = 1 << 53
+COPIES = 4096
 
 
 def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place(doc_id: str = "doc_id", source: str = "source") -> Column:
-    """A number below 2^53 that depends on the id and source alone."""
-    return F.pmod(F.xxhash64(F.lit(SEED), doc_id, source), F.lit(SPREAD))
+def key() -> Column:
+    """What equal rows have in common."""
+    return F.xxhash64(F.lit(SEED), "doc_id", "source", "text")
+
+
+def place(nth: Column) -> Column:
+    """A number below 2^53 that depends on the row's key and its number among equal rows alone."""
+    return F.pmod(F.xxhash64(F.lit(SEED), "key", nth), F.lit(SPREAD))
+
+
+EQUAL = ["source", "size", "key"]
+
+
+def counted(measured: DataFrame) -> DataFrame:
+    """(source, size, key, n): rows are counted where they are read, so a hot row moves once per task."""
+    return stage(measured.groupBy(*EQUAL).agg(F.count("*").alias("n")), "row-counts")
+
+
+def places(counts: DataFrame) -> DataFrame:
+    """(source, size, at) of every row.  Equal rows get their numbers in chunks, and many chunks are dealt out."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))
+    few, many = counts.where(F.col("n") <= COPIES).withColumn("chunk", F.lit(0).cast("long")), counts.where(F.col("n") > COPIES)
+    chunks = few.unionByName(many.withColumn("chunk", chunk).repartition("key", "chunk"))
+    first = F.col("chunk") * COPIES
+    numbers = F.sequence(first, F.least(first + COPIES, F.col("n")) - 1)
+    return chunks.withColumn("nth", F.explode(numbers)).select("source", "size", place(F.col("nth")).alias("at"))
+
+
+def numbered(measured: DataFrame, counts: DataFrame) -> DataFrame:
+    """``measured`` with ``at``.  Only rows that have equals are moved to be numbered: within the task that wrote
+    them, and from the counts of the tasks before it.
+    """
+    several = counts.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in EQUAL])
+    same = measured["source"].eqNullSafe(several["_source"]) & (measured["size"] == several["_size"]) & (measured["key"] == several["_key"])
+    alone = measured.join(several, same, "left_anti").withColumn("at", place(F.lit(0).cast("long")))
+    equal = measured.join(several, same, "left_semi").withColumn("number", F.monotonically_increasing_id())
+    equal = stage(equal, "equal-rows").withColumn("task", F.shiftright("number", 33))
+    before = Window.partitionBy(*EQUAL).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = equal.groupBy(*EQUAL, "task").agg(F.count("*").alias("n"))
+    tasks = tasks.select(*[F.col(c).alias(f"_{c}") for c in [*EQUAL, "task"]], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    equal = equal.withColumn("nth", F.row_number().over(Window.partitionBy(*EQUAL, "task").orderBy("number")).cast("long") - 1)
+    joined = equal.join(
+        tasks,
+        equal["source"].eqNullSafe(tasks["_source"]) & (equal["size"] == tasks["_size"]) & (equal["key"] == tasks["_key"]) & (equal["task"] == tasks["_task"]),
+    )
+    return alone.unionByName(joined.withColumn("at", place(F.col("_before") + F.col("nth"))).select(*alone.columns))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -174,18 +218,19 @@ def mix(docs: DataFrame, shards: int = SHARDS, **shares) -> DataFrame:
     time the mix takes it.
 
     Null and empty texts have size 0 and may be taken without effect; a null source is a source of its own;
-    repeated rows count each and fall into the same block; a null id is an id like another; other columns
+    repeated rows count each and are placed each for itself, as are rows without an id; other columns
     travel inside ``row`` untouched; without words every target is 0; no rows give no rows.  The same
     input gives the same mix.
     """
     measured = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"),
-        words("text").alias("size"), place().alias("at"),
+        words("text").alias("size"), key().alias("key"),
     )
-    sizes = stage(measured.select("source", "size", "at"), "sizes")
-    sources, dealt = plan(sizes, shards, **shares)
+    counts = counted(measured)
+    sources, dealt = plan(stage(places(counts), "sizes"), shards, **shares)
     named = sources.select(F.col("source").alias("of"), "s", "documents", "source_size", "target")
-    rows = measured.join(named, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", block(F.col("documents"), F.col("at")))
+    placed = numbered(measured, counts)
+    rows = placed.join(named, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", block(F.col("documents"), F.col("at")))
     within = F.col("partial").isNotNull() & (F.col("last").isNull() | (F.struct("size", "at") <= F.col("last")))
     copies = F.concat("whole", F.when(within, F.array("partial")).otherwise(F.array().cast("array<int>")))
     return rows.join(dealt, ["s", "block"]).select("row", "size", "source_size", "target", copies.alias("copies"))
@@ -197,5 +242,5 @@ def shuffled(mixed: DataFrame) -> DataFrame:
     Partitions are ranges of (shard, order), so a large shard takes as many tasks as it needs.
     """
     drawn = mixed.select("row", F.posexplode("copies").alias("copy", "shard"))
-    order = F.xxhash64(F.lit(SEED), "shard", "copy", F.col("row")["doc_id"])
+    order = F.xxhash64(F.lit(SEED), "shard", "copy", F.col("row")["doc_id"], F.col("row")["text"])
     return drawn.withColumn("order", order).repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").select("row.*")
