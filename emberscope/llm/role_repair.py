@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ CODES = {n: c for c, n in NAMES.items()}
 #: A conversation may open with a system turn; then user and assistant take turns, the user first.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 NEVER = 1 << 40
+MARKER = re.compile(r"<(\\*)\|")
+ESCAPED = re.compile(r"<\\(\\*)\|")
 
 
 @dataclass(frozen=True)
@@ -108,6 +111,18 @@ def turn_markup(role: int) -> str:
 END = "<|end|>\n"
 
 
+def escaped(text: str) -> str:
+    """A text in which no marker can be read: ``<`` before a bar gets a backslash after it, and one more where there are some.
+
+    Taking one backslash away between ``<`` and ``|`` gives the text back.
+    """
+    return MARKER.sub(r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return ESCAPED.sub(r"<\1|", text)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Consecutive rows of one segment."""
     run: list[dict] = []
@@ -157,7 +172,7 @@ def _render(batches: Iterator[pa.RecordBatch], costs: Costs) -> Iterator[pa.Reco
     rows, size = [], 0
     for run in _runs(batches):
         for row, (before, after, cost, action, added) in zip(run, machine.repair([r["role"] for r in run], run[0]["entry"], run[0]["leave"])):
-            text = row["text"] or ""
+            text = escaped(row["text"] or "")
             if "merge" in action:
                 shown = "\n\n" + text
             else:
@@ -184,6 +199,8 @@ def repair(conversations: DataFrame, costs: Costs = Costs()) -> DataFrame:
     its turns are dealt by range into segments, each segment is summed up by its least cost from state to
     state, the few segments of a conversation are chained, and each is then repaired on its own.
 
+    Markers inside a text are escaped (see ``escaped``), so no text can pass for a turn; ``unescaped`` undoes it.
+
     Turns are ordered by turn (nulls last), role and text.  Roles count without case and outer spaces; null and
     other ones are unknown and fit any turn at a small cost.  Null text is empty; a null conv_id is a
     conversation like another; equal rows are equal turns; other columns are ignored; no rows give no rows.
