@@ -276,14 +276,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDE
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no test item, with all their columns.
+    """The rows that leak no test item, with all their columns, whatever their names.
 
-    Rows with the same id are one document: a leak in one of them removes all.  A null id names no document,
-    so each row without an id is judged by its own text.
+    Each row is judged by its own text: rows that share an id, or have none, stay or leave one by one.
     """
-    leaks = found(docs, benchmark, INDEX_BYTES)
-    leaks = leaks.select(F.col("doc_id").alias("_leak"), F.when(F.col("doc_id").isNull(), F.col("text_key")).alias("_leak_key"))
+    leaks = found(docs, benchmark, INDEX_BYTES).select(F.col("doc_id").alias("_leak"), F.col("text_key").alias("_leak_key"))
     leaks = stage(leaks.distinct(), "leaks")
-    doc_id = docs["doc_id"].cast("long")
-    same = doc_id.eqNullSafe(F.col("_leak")) & F.when(doc_id.isNull(), text_key()).eqNullSafe(F.col("_leak_key"))
-    return docs.join(leaks, same, "left_anti")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row")["text"].cast("binary")
+    same = F.col("row")["doc_id"].cast("long").eqNullSafe(F.col("_leak")) & (F.xxhash64(text) == F.col("_leak_key"))
+    return rows.join(leaks, same, "left_anti").select("row.*")
