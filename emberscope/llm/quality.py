@@ -50,7 +50,7 @@ def longest_matches(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     order = np.argsort(codes, kind="stable")
     new = np.r_[True, np.diff(codes[order]) != 0]
     first = np.flatnonzero(new)
-    rank = np.zeros(n + 1, np.int64)
+    rank = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
     rank[order] = first[np.cumsum(new) - 1] + 1
     sizes = np.diff(np.r_[first, n])
     tied = order[np.repeat(sizes, sizes) > 1]
