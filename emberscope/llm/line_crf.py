@@ -1,4 +1,9 @@
-"""Document quality from a linear-chain conditional random field over lines."""
+"""Document quality from a linear-chain conditional random field over lines.
+
+The lines' labels are latent: a text's label only makes each of its lines more likely to be the same.  The fit
+raises the likelihood of that evidence, so a bad text may keep good lines, and moves between good and bad lines
+are learned from texts that hold both.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +21,8 @@ from emberscope.llm.shared import pieces, texts
 FIT_DOCUMENTS = 4000
 FIT_LINES = 400
 THRESHOLD = 0.3
+EVIDENCE = 0.25
+MOVE_DECAY = 0.1
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "lower": b"abcdefghijklmnopqrstuvwxyz",
@@ -134,31 +141,47 @@ class LineModel:
     weights: np.ndarray
     move: np.ndarray
 
-    def score(self, values: list[bytes]) -> np.ndarray:
-        """Quality of each text: the lines' chances to be good, weighted by line length."""
+    def lines(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each line's chance to be good and its length, and where each text's lines start."""
         features, length, bounds = line_features(values)
         x = with_neighbours((features - self.mean) / self.scale, bounds)
-        good, _ = marginals(x @ self.weights, self.move, bounds)
+        return marginals(x @ self.weights, self.move, bounds)[0], length, bounds
+
+    def score(self, values: list[bytes]) -> np.ndarray:
+        """Quality of each text: the lines' chances to be good, weighted by line length."""
+        good, length, bounds = self.lines(values)
         weight = length + 1.0
         return np.add.reduceat(good * weight, bounds[:-1]) / np.add.reduceat(weight, bounds[:-1])
 
 
-def fit(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, rounds: int = 150, decay: float = 1e-3) -> LineModel:
-    """Maximum likelihood with every line labelled as its text is; Adam steps on the exact gradient."""
+def fit(
+    features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, rounds: int = 150, decay: float = 1e-3, evidence: float = EVIDENCE,
+    move_decay: float = MOVE_DECAY,
+) -> LineModel:
+    """Maximum likelihood of the texts' labels as evidence on latent line labels; Adam steps on the exact gradient.
+
+    A text's label adds ``evidence`` to the log-odds of each of its lines.  The gradient is the difference of two
+    expectations by forward-backward, with that evidence and without it, which is a step of
+    expectation-maximisation that takes no full maximisation between.  The start is a model of single lines, for a
+    chain that began with whole texts of one label would never learn a move.  For the same reason moves are held
+    back by a decay of their own: what surrounds a line is among its features already.
+    """
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
     x = with_neighbours((features - mean) / scale, bounds)
     y = np.repeat(labels, np.diff(bounds)).astype(float)
-    later = np.ones(len(y), bool)
-    later[bounds[:-1]] = False
-    at = np.flatnonzero(later)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1.0)
+    push = evidence * (2 * y - 1)
     theta = np.zeros(x.shape[1] + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
+    penalty = np.r_[np.full(x.shape[1], decay), np.full(4, move_decay)]
     texts_ = max(1, len(labels))
     for step in range(1, rounds + 1):
-        good, expected = marginals(x @ theta[:-4], theta[-4:].reshape(2, 2), bounds)
-        gradient = np.r_[x.T @ (y - good), (seen - expected).ravel()] / texts_ - decay * theta
+        unary, move = x @ theta[:-4], theta[-4:].reshape(2, 2)
+        if step <= rounds // 3:
+            good, wanted, moved, expected = 1.0 / (1.0 + np.exp(-np.clip(unary, -700, 700))), y, np.zeros((2, 2)), np.zeros((2, 2))
+        else:
+            good, expected = marginals(unary, move, bounds)
+            wanted, moved = marginals(unary + push, move, bounds)
+        gradient = np.r_[x.T @ (wanted - good), (moved - expected).ravel()] / texts_ - penalty * theta
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         theta = theta + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
