@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberscope.functions.scores import discretise_polarity
+from emberscope.sources.csv_records import read_records
 from emberscope.schemas import FILE_SUFFIXES, HEADER_KEYS, RAW_POST_SCHEMA
 
 CORRUPT = "_corrupt"
@@ -37,21 +38,22 @@ def read_raw_posts(
     """Raw post CSVs as text columns, with topic, source file and row position.
 
     Lines starting with ``#`` are dropped and quoted text may span lines.
-    Files may have other columns than each other: with ``header`` one pass
-    over the lines finds the headers, files of the same header are read
-    together, and a column of ``schema`` that a file lacks is null.  Rows with
-    too few fields are filled with nulls.  Rows with surplus fields are
-    dropped, or kept with ``bad_row`` set and their text in ``_corrupt``.  The
-    topic is the folder below the given path.  Text that spans lines needs
-    ``multi_line``, which reads each file in one task; without it files are
-    split.
+    Files may have other columns than each other: with ``header`` the first
+    line of each file that is no comment names them, and a column of
+    ``schema`` that a file lacks is null.  Rows with too few fields are filled
+    with nulls.  Rows with surplus fields are dropped, or kept with
+    ``bad_row`` set and their text in ``_corrupt``.  The topic is the folder
+    below the given path.  Large files are read by many tasks; ``multi_line``
+    is needed for text that spans lines, and takes one more pass over the lines.
     """
     roots = [paths] if isinstance(paths, str) else list(paths)
+    if multi_line:
+        records, blocks = read_records(spark, roots, recursive, glob)
+        return _parsed(records, blocks, roots, schema, header, keep_bad_rows)
     options = {
         "header": str(header).lower(),
         "comment": "#",
         "escape": '"',
-        "multiLine": str(multi_line).lower(),
         "recursiveFileLookup": str(recursive).lower(),
         "pathGlobFilter": glob,
         "columnNameOfCorruptRecord": CORRUPT,
@@ -62,18 +64,14 @@ def read_raw_posts(
     variants = _header_variants(spark, roots, recursive, glob) if header else []
 
     def read(names: Sequence[str], files: Sequence[str]) -> DataFrame:
-        fields = [T.StructField(n, T.StringType()) for n in [*names, CORRUPT]]
-        raw = spark.read.options(**options).schema(T.StructType(fields)).csv(list(files))
+        raw = spark.read.options(**options).schema(_fields(names)).csv(list(files))
         # Dropping by mode would depend on the columns a query reads, and a test of the
         # corrupt column alone is refused; the test therefore reads a data column too.
         some_column = F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))
-        outside_quotes = F.regexp_replace(CORRUPT, r'"(?:[^"]|"")*+"', "")
-        surplus = F.regexp_count(outside_quotes, F.lit(",")) >= len(names)
-        bad = F.coalesce(surplus, F.lit(False)) | (some_column == "\0")
         return raw.select(
-            *[(F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast("string")).alias(f.name) for f in schema.fields],
+            *_wanted(names, schema),
             CORRUPT,
-            bad.alias("bad_row"),
+            (_surplus(names) | (some_column == "\0")).alias("bad_row"),
             topic_below(F.col("_metadata.file_path"), roots).alias("topic"),
             F.col("_metadata.file_name").alias("source_file"),
             F.col("_metadata.file_path").alias("source_path"),
@@ -88,6 +86,62 @@ def read_raw_posts(
     return located if keep_bad_rows else located.filter(~F.col("bad_row")).drop("bad_row", CORRUPT)
 
 
+def _fields(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+
+
+def _wanted(names: Sequence[str], schema: T.StructType, row: str = "") -> list[Column]:
+    """The columns of ``schema`` from a row that has those of ``names``."""
+    return [
+        (F.col(f"{row}`{f.name}`") if f.name in names else F.lit(None).cast("string")).alias(f.name) for f in schema.fields
+    ]
+
+
+def _surplus(names: Sequence[str], corrupt: str = CORRUPT) -> Column:
+    outside_quotes = F.regexp_replace(corrupt, r'"(?:[^"]|"")*+"', "")
+    return F.coalesce(F.regexp_count(outside_quotes, F.lit(",")) >= len(names), F.lit(False))
+
+
+def _header_names(line: str) -> list[str]:
+    return [n.strip().strip('"') for n in line.split(",")]
+
+
+def _parsed(
+    records: DataFrame, blocks: DataFrame, roots: Sequence[str], schema: T.StructType, header: bool, keep_bad_rows: bool
+) -> DataFrame:
+    """Records to posts.  The files' headers differ little, so each distinct one is known to the driver."""
+    text = F.regexp_replace("record", "^\ufeff", "")
+    rows = records.withColumn("record", text).filter(~F.col("record").startswith("#") & (F.trim("record") != ""))
+    heads = {None: [f.name for f in schema.fields]}
+    if header:
+        first = blocks.filter("header IS NOT NULL").select(F.col("path").alias("_path"), "header", "header_line")
+        heads = {r["header"]: _header_names(r["header"]) for r in first.select("header").distinct().orderBy("header").collect()}
+        below = (F.col("block") > 0) | (F.col("line") > F.col("header_line"))
+        rows = rows.join(first, F.col("path") == F.col("_path")).filter(below)
+    options = {"escape": '"', "columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
+    parts = []
+    for head, names in heads.items():
+        own = rows.filter(F.col("header") == head) if len(heads) > 1 else rows
+        kinds = ", ".join(f"`{f.name}` STRING" for f in _fields(names).fields)
+        row = F.from_csv("record", kinds, options)
+        parts.append(
+            own.withColumn("_row", row).select(
+                *_wanted(names, schema, "_row."),
+                F.col(f"_row.{CORRUPT}").alias(CORRUPT),
+                _surplus(names, f"_row.{CORRUPT}").alias("bad_row"),
+                topic_below(F.col("path"), roots).alias("topic"),
+                F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1)).alias("source_file"),
+                F.col("path").alias("source_path"),
+                F.col("block").alias("file_offset"),
+                F.col("line").alias("row_pos"),
+            )
+        )
+    if not parts:  # no file has a line
+        return _parsed(records, blocks, roots, schema, False, keep_bad_rows)
+    located = reduce(DataFrame.unionByName, parts)
+    return located if keep_bad_rows else located.filter(~F.col("bad_row")).drop("bad_row", CORRUPT)
+
+
 def topic_below(path: Column, roots: Sequence[str]) -> Column:
     """Folder of a file directly below one of ``roots``; its last folder if it lies in none of them deeper."""
     found = []
