@@ -6,6 +6,8 @@ the session zone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +20,21 @@ STAMP_PATTERN = rf"^[A-Za-z]{{3}} {MONTH_NAMES} (\d{{1,2}}) (\d{{2}}:\d{{2}}:\d{
 NAMED_PATTERN = rf"^{MONTH_NAMES}\.? (\d{{1,2}}),? (\d{{4}})(?:,? (\d{{1,2}}:\d{{2}}(?::\d{{2}})?))?$"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it; keeps generated code small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def as_iso(text: Column) -> Column:
     """Common ways to write a time, as ISO text; other text is unchanged.
 
     Read are ``2024/01/05 10:00``, ``20240105``, ``Jan 5, 2024 10:00``, ``Sun Jan 29 14:25:37 +0000 2023``
     and a closing ``UTC`` or ``GMT``.
     """
-    bare = F.regexp_replace(F.trim(text), r"\s*(?:UTC|GMT)$", "")
+    return bound(F.regexp_replace(F.trim(text), r"\s*(?:UTC|GMT)$", ""), _as_iso)
 
+
+def _as_iso(bare: Column) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(bare, pattern, group)
 
@@ -51,7 +60,10 @@ def parse_utc(text: Column, strict: bool = False) -> Column:
 
     Unparsable text is null, or fails the job when ``strict``.
     """
-    text = as_iso(text)
+    return bound(as_iso(text), lambda iso: _parsed(iso, strict))
+
+
+def _parsed(text: Column, strict: bool) -> Column:
     dated = text.rlike(r"\d{1,2}:\d{2}")
     wall = text.cast("timestamp_ntz") if strict else text.try_cast("timestamp_ntz")
     sign = F.when(F.regexp_extract(text, OFFSET_PATTERN, 1) == "-", -1).otherwise(1)
