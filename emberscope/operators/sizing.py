@@ -15,6 +15,18 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
     return len(df.select(F.lit(1)).limit(max_rows + 1).collect()) <= max_rows
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` as local rows to broadcast if it has at most ``max_rows`` narrow rows, else ``df`` as it is.
+
+    The rows are computed once and looked at no further than the bound, so what is broadcast is of proven size
+    and the other side of a join stays where it is.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a DataFrame."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
