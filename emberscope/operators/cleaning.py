@@ -47,9 +47,9 @@ def drop_undated(posts: DataFrame) -> DataFrame:
     return posts.filter(F.col("timestamp").isNotNull())
 
 
-def undated_count(posts: DataFrame) -> DataFrame:
-    """Posts in all and posts without a time; reads only the time column."""
-    return posts.agg(
+def undated_count(posts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Posts in all and posts without a time; reads only the time column and those of ``by``."""
+    return posts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("timestamp").isNull()).alias("undated")
     )
 

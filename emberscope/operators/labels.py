@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscope.functions.times import parse_utc, to_utc
 from emberscope.operators.reports import top_per_topic
 from emberscope.operators.series import join_close_windows, with_controversy_score
-from emberscope.operators.sizing import is_small
 from emberscope.schemas import PERIOD_GAP_SECONDS
 
-SMALL_INTERVALS = 10_000
-
-
 def usable_intervals(raw: DataFrame) -> DataFrame:
     """Text intervals ``topic, position, start, end, label, description`` to usable ones.
 
@@ -32,43 +28,46 @@ def usable_intervals(raw: DataFrame) -> DataFrame:
 
 
 def apply_intervals(
-    features: DataFrame,
-    intervals: DataFrame,
-    out: str = "is_controversy",
-    interval_zone: str | None = None,
-    max_broadcast: int = SMALL_INTERVALS,
+    features: DataFrame, intervals: DataFrame, out: str = "is_controversy", interval_zone: str | None = None
 ) -> DataFrame:
     """Flag rows inside any interval of their topic, both ends included.
 
-    A proven-small interval table is broadcast and probed per row.  A larger
-    one is cut into topic-days, so the probe is an equality join on
-    ``(topic, day)`` and a busy topic is spread over its days.
-    ``interval_zone`` is the zone of the interval bounds when the feature
-    times are UTC.
+    A sweep: intervals are cut into topic-days, and the bounds and the rows of a
+    topic-day form one ordered stream, in which a running count tells how many
+    intervals are open at each row.  At the same time, starts come before rows
+    and rows before ends.  A busy topic is spread over its days, overlaps and
+    long periods cost their bounds only, and no size decides on the plan.  Rows
+    without topic or time are in no interval.  ``interval_zone`` is the zone of
+    the interval bounds when the feature times are UTC.
     """
     bounds = intervals
     if interval_zone:
         bounds = bounds.withColumns(
             {c: to_utc(F.col(c), interval_zone) for c in ("start", "end")}
         )
-    bounds = bounds.select(
-        F.col("topic").alias("_topic"), F.col("start").alias("_start"), F.col("end").alias("_end")
+    whole = bounds.filter(F.col("topic").isNotNull() & (F.col("start") <= F.col("end"))).select("topic", "start", "end")
+    days = F.sequence(F.to_date("start"), F.to_date("end"), F.expr("INTERVAL '1 day'"))
+    daily = whole.withColumn("_day", F.explode(days))
+    first = F.greatest(F.col("start"), F.col("_day").cast("timestamp_ntz"))
+    next_day = F.date_add("_day", 1).cast("timestamp_ntz")
+    events = F.array(
+        F.struct(first.alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_step")),
+        F.struct(F.least(F.col("end"), next_day).alias("_at"), F.lit(2).alias("_kind"), F.lit(-1).alias("_step")),
     )
-    probe = features.withColumns(
-        {"_row_topic": F.col("topic"), "_row_time": F.col("timestamp"), "_row_day": F.to_date("timestamp")}
+    steps = daily.select(F.col("topic").alias("_topic"), "_day", F.inline(events))
+    # Equal bounds are one event, so a moment at which very many intervals start or end is a single row.
+    steps = steps.groupBy("_topic", "_day", "_at", "_kind").agg(F.sum("_step").alias("_step"))
+    rows = features.withColumns(
+        {
+            "_topic": F.col("topic"), "_day": F.to_date("timestamp"), "_at": F.col("timestamp"),
+            "_kind": F.lit(1), "_step": F.lit(0).cast("long"),
+        }
     )
-    inside = F.col("_row_time").outer().between(F.col("_start"), F.col("_end"))
-    match = (F.col("_topic") == F.col("_row_topic").outer()) & inside
-    if is_small(intervals, max_broadcast):
-        hit = F.broadcast(bounds).where(match).exists()
-    else:
-        one_day = F.expr("INTERVAL '1 day'")
-        days = bounds.withColumn(
-            "_day", F.explode(F.sequence(F.to_date("_start"), F.to_date("_end"), one_day))
-        )
-        hit = days.where(match & (F.col("_day") == F.col("_row_day").outer())).exists()
-    flagged = probe.withColumn(out, hit.cast("int"))
-    return flagged.drop("_row_topic", "_row_time", "_row_day")
+    stream = rows.unionByName(steps, allowMissingColumns=True)
+    order = Window.partitionBy("_topic", "_day").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = stream.withColumn("_open", F.sum("_step").over(order)).filter("_kind = 1")
+    kept = [c for c in features.columns if c != out]
+    return swept.select(*kept, (F.coalesce("_open", F.lit(0)) > 0).cast("int").alias(out))
 
 
 def suggested_periods(features: DataFrame, top: int = 20, gap_seconds: int = PERIOD_GAP_SECONDS) -> DataFrame:

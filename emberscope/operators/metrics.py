@@ -131,12 +131,15 @@ def class_weight(df: DataFrame, by: Sequence[str] = (), label: str = "is_controv
     )
 
 
-def missed_positives(df: DataFrame, features: Sequence[str], label: str = "label", pred: str = "prediction") -> DataFrame:
-    """Number of false negatives and their mean features."""
-    missed = df.filter((F.col(label) == 1) & (F.col(pred) == 0))
-    return missed.agg(F.count(F.lit(1)).alias("missed"), *[F.avg(f).alias(f"mean_{f}") for f in features])
+def missed_positives(
+    df: DataFrame, features: Sequence[str], label: str = "label", pred: str = "prediction", by: Sequence[str] = ()
+) -> DataFrame:
+    """Number of false negatives and their mean features, also for groups that miss none."""
+    missed = (F.col(label) == 1) & (F.col(pred) == 0)
+    means = [F.avg(F.when(missed, F.col(f))).alias(f"mean_{f}") for f in features]
+    return df.groupBy(*by).agg(F.count_if(missed).alias("missed"), *means)
 
 
-def topic_accuracy(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
+def topic_accuracy(df: DataFrame, label: str = "label", pred: str = "prediction", by: Sequence[str] = ("topic",)) -> DataFrame:
     hit = (F.col(label) == F.col(pred)).cast("int")
-    return df.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"))

@@ -66,17 +66,34 @@ def dates_and_hours(posts: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def topic_dataset_summary(posts: DataFrame) -> DataFrame:
-    """Posts, period, days, source files and queries per topic."""
-    out = posts.groupBy("topic").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("timestamp").alias("start"),
-        F.max("timestamp").alias("end"),
+def topic_dataset_summary(posts: DataFrame, most_listed: int = 1000) -> DataFrame:
+    """Posts, period, days, source files and queries per topic.
+
+    Posts are first reduced to one row per topic, file and query, so no list
+    grows with the posts; of a topic's queries the first ``most_listed`` by name
+    are listed, and ``query_count`` counts them all.
+    """
+    each = posts.groupBy("topic", "source_file", "query").agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end")
+    )
+    out = each.groupBy("topic").agg(
+        F.sum("n").alias("n"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
         F.count_distinct("source_file").alias("files"),
-        F.array_join(F.array_sort(F.collect_set("query")), ",").alias("queries"),
+        F.count_distinct("query").alias("query_count"),
+    )
+    names = each.select("topic", "query").distinct().filter(F.col("query").isNotNull())
+    place = F.row_number().over(Window.partitionBy("topic").orderBy("query"))
+    first = names.withColumn("_place", place).filter(F.col("_place") <= most_listed)
+    listed = first.groupBy(F.col("topic").alias("_topic")).agg(
+        F.array_join(F.array_sort(F.collect_list("query")), ",").alias("queries")
     )
+    joined = out.join(listed, F.col("topic").eqNullSafe(F.col("_topic")), "left").drop("_topic")
     seconds = F.timestamp_diff("SECOND", F.col("start"), F.col("end"))
-    return out.withColumn("days", (F.floor(seconds / 86400) + 1).cast("bigint"))
+    return joined.withColumns(
+        {"queries": F.coalesce("queries", F.lit("")), "days": (F.floor(seconds / 86400) + 1).cast("bigint")}
+    )
 
 
 def sentiment_summary(posts: DataFrame) -> DataFrame:
@@ -145,9 +162,9 @@ def box_profile(labelled: DataFrame, feature: str, label: str = "is_controversy"
     return exact_quantiles(labelled, feature, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [label])
 
 
-def score_summary(scored: DataFrame) -> DataFrame:
+def score_summary(scored: DataFrame, by: Sequence[str] = ("topic",)) -> DataFrame:
     """Latest, mean and maximum score and number of windows per topic."""
-    return scored.groupBy("topic").agg(
+    return scored.groupBy(*by).agg(
         F.max_by("score", "timestamp").cast("bigint").alias("latest_score"),
         F.avg("score").alias("mean_score"),
         F.max("score").cast("bigint").alias("max_score"),
@@ -202,10 +219,12 @@ def importance_gain(importance: DataFrame, added: Sequence[str], strong: float =
     )
 
 
-def result_difference(left: DataFrame, right: DataFrame, on: str, metric: str, suffixes: tuple[str, str]) -> DataFrame:
-    """Inner join of two result sets and the difference of a metric in points."""
+def result_difference(
+    left: DataFrame, right: DataFrame, on: str, metric: str, suffixes: tuple[str, str], keep: Sequence[str] = ()
+) -> DataFrame:
+    """Inner join of two result sets and the difference of a metric in points; ``keep`` names columns of the second."""
     a = left.select(on, F.col(metric).alias(f"{metric}{suffixes[0]}"))
-    b = right.select(on, F.col(metric).alias(f"{metric}{suffixes[1]}"))
+    b = right.select(on, *keep, F.col(metric).alias(f"{metric}{suffixes[1]}"))
     return a.join(b, on).withColumn(
         f"{metric}_diff", (F.col(f"{metric}{suffixes[1]}") - F.col(f"{metric}{suffixes[0]}")) * 100
     )
@@ -218,13 +237,11 @@ def degraded_and_improved(diff: DataFrame, column: str, improved_min: float = 1.
     return bad.orderBy(column).unionByName(good.orderBy(F.desc(column)))
 
 
-def run_deltas(results: DataFrame, metric: str, base: Column, other: Column) -> DataFrame:
-    """Point and percent improvement of one run over another, per model."""
-    wide = results.groupBy("model").agg(
-        F.max(F.when(base, F.col(metric))).alias("before"),
-        F.max(F.when(other, F.col(metric))).alias("after"),
-    )
-    return wide.withColumns(
+def run_deltas(results: DataFrame, metric: str, run: str, base: str) -> DataFrame:
+    """Point and percent improvement of every other run over the run ``base``, per model."""
+    before = results.filter(F.col(run) == base).select("model", F.col(metric).alias("before"))
+    after = results.filter(F.col(run) != base).select("model", run, F.col(metric).alias("after"))
+    return after.join(before, "model").withColumns(
         {
             "points": (F.col("after") - F.col("before")) * 100,
             "percent": ratio(F.col("after") - F.col("before"), F.col("before")) * 100,

@@ -7,6 +7,7 @@ per topic is bounded by the length of the observed period.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,16 +15,18 @@ from pyspark.sql import functions as F
 
 from emberscope.functions.columns import ratio, ratio_or_zero, share
 from emberscope.functions.times import DAY_SECONDS, bin_start, bin_start_from, width_seconds
-from emberscope.operators.sizing import global_rank
+from emberscope.operators.sizing import broadcast_if_small, global_rank
 
 KEYS = ["topic", "timestamp"]
+GAP_PIECE = 1440
 
 
 def by_window(posts: DataFrame, width: str = "1 hour", time: str = "timestamp", keys: Sequence[str] = ("topic",)):
     """Grouping of posts by topic and tumbling window start.
 
     Windows start at midnight.  A width that does not divide a day counts from
-    midnight of the topic's first day, which takes one small extra aggregate.
+    midnight of the topic's first day, which takes one small extra aggregate; its
+    row per topic is broadcast once its size is known, so the posts stay in place.
     """
     if DAY_SECONDS % width_seconds(width) == 0:
         binned = posts.withColumn("_bin", bin_start(F.col(time), width))
@@ -31,7 +34,7 @@ def by_window(posts: DataFrame, width: str = "1 hour", time: str = "timestamp",
         first = posts.groupBy(*keys).agg(
             F.to_date(F.min(time)).cast("timestamp_ntz").alias("_origin")
         )
-        first = first.withColumnsRenamed({k: f"_first_{k}" for k in keys})
+        first = broadcast_if_small(first.withColumnsRenamed({k: f"_first_{k}" for k in keys}))
         same = [F.col(k).eqNullSafe(F.col(f"_first_{k}")) for k in keys]
         binned = posts.join(first, same).withColumn("_bin", bin_start_from(F.col(time), width, F.col("_origin")))
     return binned.filter(F.col("_bin").isNotNull()).groupBy(*keys, F.col("_bin").alias("timestamp"))
@@ -48,14 +51,20 @@ def gap_fill(
 
     Every row expands to itself and the empty windows before the next row, in
     one ordered pass; measures of inserted rows are null unless ``fill`` says
-    otherwise.
+    otherwise.  A gap of any length is cut into pieces of ``GAP_PIECE`` windows
+    that are expanded one at a time, so no row ever holds a long gap.
     """
     fill = fill or {}
-    step = F.expr(f"INTERVAL '{width}'")
+    step, seconds = F.expr(f"INTERVAL '{width}'"), width_seconds(width)
     following = F.lead("timestamp").over(Window.partitionBy(*keys, *by).orderBy("timestamp"))
-    last_empty = F.coalesce(following - step, F.col("timestamp"))
-    spread = series.withColumn("_bins", F.sequence(F.col("timestamp"), last_empty, step))
-    out = spread.withColumn("_bin", F.explode("_bins"))
+    windows = F.coalesce(F.floor(F.timestamp_diff("SECOND", F.col("timestamp"), following) / seconds), F.lit(1)).cast("long")
+    cut = series.withColumn("_windows", F.greatest(windows, F.lit(1).cast("long")))
+    pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_windows") - 1) / GAP_PIECE))
+    cut = cut.withColumn("_piece", F.explode(pieces))
+    start = F.timestamp_add("SECOND", F.col("_piece") * (GAP_PIECE * seconds), F.col("timestamp"))
+    length = F.least(F.lit(GAP_PIECE).cast("long"), F.col("_windows") - F.col("_piece") * GAP_PIECE)
+    cut = cut.withColumn("_start", start).withColumn("_end", F.timestamp_add("SECOND", (length - 1) * seconds, F.col("_start")))
+    out = cut.withColumn("_bin", F.explode(F.sequence("_start", "_end", step)))
     real = F.col("_bin") == F.col("timestamp")
     fixed = {*keys, *by, "timestamp"}
     columns = []
@@ -83,17 +92,15 @@ def post_counts(posts: DataFrame, width: str = "1 hour") -> DataFrame:
 def resolution_summary(posts: DataFrame, widths: Sequence[str] = ("10 minutes", "30 minutes", "1 hour")) -> DataFrame:
     """Window count, mean, maximum and minimum per topic for several widths.
 
-    The posts are read and shuffled once, at the finest width; coarser widths
-    are summed from those counts.
+    The posts are read and shuffled once, on the grid of the greatest common
+    divisor of all widths and a day; every width is summed up from that grid,
+    also where one does not divide another.
     """
-    finest = by_window(posts, widths[0]).agg(F.count(F.lit(1)).alias("count"))
+    grid = f"{math.gcd(DAY_SECONDS, *map(width_seconds, widths))} seconds"
+    finest = by_window(posts, grid).agg(F.count(F.lit(1)).alias("count"))
     parts = []
     for width in widths:
-        coarse = (
-            finest.withColumn("_b", bin_start(F.col("timestamp"), width))
-            .groupBy("topic", F.col("_b").alias("timestamp"))
-            .agg(F.sum("count").alias("count"))
-        )
+        coarse = by_window(finest, width).agg(F.sum("count").alias("count"))
         filled = gap_fill(coarse, width, {"count": 0})
         parts.append(
             filled.groupBy("topic").agg(
@@ -307,13 +314,9 @@ def latest_window(df: DataFrame) -> DataFrame:
 
 def with_encoded(df: DataFrame, column: str = "topic", out: str = "topic_encoded") -> DataFrame:
     """Alphabetical code 0..n-1 of a category; null counts as ``unknown``."""
+    coded = broadcast_if_small(encoder(df, column).withColumnsRenamed({"code": out, "_value": "_known"}))
     value = F.coalesce(F.col(column), F.lit("unknown"))
-    coded = encoder(df, column).withColumnRenamed("code", out)
-    return (
-        df.withColumn("_value", value)
-        .join(coded, "_value", "left")
-        .drop("_value")
-    )
+    return df.join(coded, value == F.col("_known"), "left").drop("_known")
 
 
 def encoder(df: DataFrame, column: str = "topic") -> DataFrame:
@@ -325,6 +328,7 @@ def encoder(df: DataFrame, column: str = "topic") -> DataFrame:
 
 def encode_with(df: DataFrame, codes: DataFrame, column: str = "topic", out: str = "topic_encoded") -> DataFrame:
     """Codes fitted on another table; unseen values get -1."""
+    known = broadcast_if_small(codes.select(F.col("_value").alias("_known"), F.col("code").alias("_code")))
     value = F.coalesce(F.col(column), F.lit("unknown"))
-    joined = df.withColumn("_value", value).join(codes, "_value", "left")
-    return joined.withColumn(out, F.coalesce(F.col("code"), F.lit(-1))).drop("_value", "code")
+    joined = df.join(known, value == F.col("_known"), "left")
+    return joined.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1))).drop("_known", "_code")
