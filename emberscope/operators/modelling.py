@@ -22,13 +22,14 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberscope.functions.columns import finite_or_zero
 from emberscope.operators import metrics as met
+from emberscope.operators.neighbours import nearest
 from emberscope.operators.reports import leaderboard
 from emberscope.operators.sizing import hash_order, hash_rank
 from emberscope.operators.splits import stratified_folds, stratified_split
@@ -46,6 +47,7 @@ class Preset:
     options: dict = field(default_factory=dict)
     scaled: bool = False
     weighted: bool = False
+    oversampled: bool = False
 
 
 # ---------------------------------------------------------------------------
@@ -71,9 +73,15 @@ UNIFIED = Preset(
 )
 SINGLE_TOPIC = Preset("gbt", {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1}, weighted=True)
 FEATURE_ABLATION = Preset("gbt", {"maxIter": 100, "maxDepth": 4, "stepSize": 0.1}, weighted=True)
+SINGLE_TOPIC_FOREST = Preset("forest", {"numTrees": 100, "maxDepth": 10}, weighted=True)
 CROSS_TOPIC = Preset("gbt", {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1})
 
 
+# Settings of this library: folds for calibration; boosted fits store their lineage every so many rounds.
+CALIBRATION_FOLDS = 5
+CHECKPOINT_ROUNDS = 50
+
+
 def with_rounds(presets: dict[str, Preset], rounds: int) -> dict[str, Preset]:
     """The same presets with another number of boosting rounds."""
     return {
@@ -95,12 +103,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def in_parallel(tasks: Sequence[Callable[[], object]], width: int = PARALLEL_FITS) -> list:
-    """Run a few driver-side fits at a time; each one is its own set of Spark jobs."""
+    """Run a few driver-side fits at a time; each one is its own set of Spark jobs.
+
+    Every fit has a scheduler pool of its own.  Where the session schedules fairly, all of them advance together
+    and the many short jobs of one fit fill the gaps that another leaves.
+    """
     if not tasks:
         return []
-    run = inheritable_thread_target(SparkSession.active())(lambda task: task())
+    context = SparkSession.active().sparkContext
+
+    def pooled(numbered: tuple[int, Callable[[], object]]) -> object:
+        context.setLocalProperty("spark.scheduler.pool", f"fit-{numbered[0] % width}")
+        return numbered[1]()
+
+    run = inheritable_thread_target(SparkSession.active())(pooled)
     with ThreadPool(min(width, len(tasks))) as pool:
-        return pool.map(run, tasks)
+        return pool.map(run, list(enumerate(tasks)), chunksize=1)
 
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
@@ -109,23 +127,45 @@ def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, weight).otherwise(F.lit(1.0)))
 
 
-def _fourier_stage(train: DataFrame, features: Sequence[str], components: int) -> SQLTransformer:
-    """Random Fourier features of the standardised columns, approximating an RBF kernel.
+@dataclass(frozen=True)
+class Moments:
+    """Rows, and mean and population deviation of each feature; a constant one counts as deviation 1."""
 
-    The mean and deviation of each feature are folded into the random weights,
-    so the stage is one expression over the raw columns.
-    """
+    rows: int
+    mean: list[float]
+    scale: list[float]
+
+
+def moments(train: DataFrame, features: Sequence[str]) -> Moments:
+    """All that scaled models need to know of the training rows, by one aggregate."""
     stats = train.agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
         *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)],
     ).first()
+    d = range(len(features))
+    return Moments(stats["n"], [stats[f"m{i}"] or 0.0 for i in d], [stats[f"s{i}"] or 1.0 for i in d])
+
+
+def _scaling_stage(stats: Moments, features: Sequence[str]) -> SQLTransformer:
+    """The features less their mean, over their population deviation, as columns of their own."""
+    scaled = ", ".join(
+        f"(`{c}` - {m!r}D) / {s!r}D AS _z{i}" for i, (c, m, s) in enumerate(zip(features, stats.mean, stats.scale))
+    )
+    return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
+
+
+def _fourier_stage(stats: Moments, features: Sequence[str], components: int) -> SQLTransformer:
+    """Random Fourier features of the standardised columns, approximating an RBF kernel.
+
+    The mean and deviation of each feature are folded into the random weights,
+    so the stage is one expression over the raw columns.
+    """
     d = len(features)
-    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(d)])
-    scale = np.array([stats[f"s{i}"] or 1.0 for i in range(d)])
     gamma = 1.0 / d
     rng = np.random.default_rng(SEED)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(components, d)) / scale
-    b = rng.uniform(0.0, 2.0 * math.pi, size=components) - w @ mean
+    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(components, d)) / np.array(stats.scale)
+    b = rng.uniform(0.0, 2.0 * math.pi, size=components) - w @ np.array(stats.mean)
     norm = math.sqrt(2.0 / components)
     rows = ", ".join(
         f"named_struct('b', {float(b[j])!r}D, 'w', array({', '.join(f'{float(v)!r}D' for v in w[j])}))"
@@ -143,7 +183,7 @@ def _estimator(preset: Preset, rows: int, inputs: str):
         common["weightCol"] = "weight"
     options = dict(preset.options)
     if preset.kind == "gbt":
-        return GBTClassifier(seed=SEED, **common, **options)
+        return GBTClassifier(seed=SEED, checkpointInterval=CHECKPOINT_ROUNDS, **common, **options)
     if preset.kind == "forest":
         return RandomForestClassifier(seed=SEED, **common, **options)
     reg = 1.0 / (options.pop("C") * max(rows, 1))
@@ -153,33 +193,68 @@ def _estimator(preset: Preset, rows: int, inputs: str):
 
 
 def fit(train: DataFrame, features: Sequence[str], preset: Preset) -> PipelineModel:
-    """Fit a preset on the feature columns; rows need ``label``."""
+    """Fit a preset on the feature columns; rows need ``label``, and an oversampled preset the row key.
+
+    The margins of the RBF machine become probabilities by a sigmoid fitted to
+    margins of rows that the machine behind them has not seen.
+    """
     ensure_checkpoint_dir(train.sparkSession)
+    if preset.oversampled:
+        train = materialise(oversample_minority(train, features), "oversampled")
     clean = train.select(
         *[finite_or_zero(F.col(c)).alias(c) for c in features], F.col("label").cast("double").alias("label")
     )
     if preset.weighted:
         clean = with_class_weight(clean)
-    rows = clean.count() if preset.kind in ("logistic", "rbf_svm") else 0
+    stats = moments(clean, features) if preset.scaled else Moments(0, [], [])
     if preset.kind == "rbf_svm":
-        components = preset.options["components"]
-        stages = [
-            _fourier_stage(clean, features, components),
-            VectorAssembler(inputCols=[f"_rff{j}" for j in range(components)], outputCol="inputs"),
-        ]
-        keep = Preset("rbf_svm", {"C": preset.options["C"]}, True, preset.weighted)
-        stages.append(_estimator(keep, rows, "inputs"))
-    else:
-        raw = "assembled" if preset.scaled else "inputs"
-        stages = [VectorAssembler(inputCols=list(features), outputCol=raw, handleInvalid="keep")]
-        if preset.scaled:
-            stages.append(StandardScaler(inputCol=raw, outputCol="inputs", withMean=True, withStd=True))
-        stages.append(_estimator(preset, rows, "inputs"))
-    return Pipeline(stages=stages).fit(clean)
+        return _fit_machine(clean, features, preset, stats)
+    inputs, stages = list(features), []
+    if preset.scaled:
+        stages, inputs = [_scaling_stage(stats, features)], [f"_z{i}" for i in range(len(features))]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="inputs", handleInvalid="keep"))
+    return Pipeline(stages=[*stages, _estimator(preset, stats.rows, "inputs")]).fit(clean)
+
+
+def _fit_machine(clean: DataFrame, features: Sequence[str], preset: Preset, stats: Moments) -> PipelineModel:
+    """The RBF machine with its calibration: out-of-fold margins against smoothed labels.
+
+    A label stands for a probability a little off 0 and 1, namely (positives + 1) / (positives + 2) and
+    1 / (negatives + 2); each row therefore enters the sigmoid's fit once for either class, by weight.
+    """
+    components = preset.options["components"]
+    inputs = [f"_rff{j}" for j in range(components)]
+    prepare = Pipeline(
+        stages=[_fourier_stage(stats, features, components), VectorAssembler(inputCols=inputs, outputCol="inputs")]
+    ).fit(clean)
+    prepared = prepare.transform(clean)
+    fold = F.pmod(F.xxhash64(*features), F.lit(CALIBRATION_FOLDS))
+    slim = ["inputs", "label", *(["weight"] if preset.weighted else [])]
+    folded = materialise(prepared.select(*slim, fold.alias("fold")), "machine-inputs")
+    machine = _estimator(Preset("rbf_svm", {"C": preset.options["C"]}, True, preset.weighted), stats.rows, "inputs")
+    margin = VectorSlicer(inputCol="rawPrediction", outputCol="margin", indices=[1])
+
+    def held_out(k: int) -> DataFrame:
+        part = machine.fit(folded.filter(F.col("fold") != k)).transform(folded.filter(F.col("fold") == k))
+        return margin.transform(part).select("margin", "label")
+
+    folds = [r["fold"] for r in folded.groupBy("fold").agg(F.count_distinct("label").alias("classes")).collect()]
+    both = folded.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
+    final, *parts = in_parallel([lambda: machine.fit(folded), *[lambda k=k: held_out(k) for k in folds if len(folds) > 1]])
+    if not parts or not both["p"] or not both["n"]:
+        return PipelineModel(stages=[*prepare.stages, final])
+    sure = F.when(F.col("label") == 1, (both["p"] + 1.0) / (both["p"] + 2.0)).otherwise(1.0 / (both["n"] + 2.0))
+    classes = F.array(F.struct(F.lit(1.0).alias("label"), sure.alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - sure).alias("weight")))
+    soft = materialise(_union(parts).select("margin", F.inline(classes)), "margins")
+    sigmoid = LogisticRegression(
+        featuresCol="margin", weightCol="weight", standardization=False, maxIter=100,
+        rawPredictionCol="calibrated", predictionCol="calibrated_prediction",
+    ).fit(soft)
+    return PipelineModel(stages=[*prepare.stages, final, margin, sigmoid])
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("topic", "timestamp", "label")) -> DataFrame:
-    """Positive-class probability of each row; margins go through the logistic function."""
+    """Positive-class probability of each row; margins without calibration go through the logistic function."""
     clean = df.withColumns({c: finite_or_zero(F.col(c)) for c in features})
     out = model.transform(clean)
     if "probability" in out.columns:
@@ -259,6 +334,21 @@ def cross_validate(df: DataFrame, runs: dict[str, tuple[Sequence[str], Preset]],
     return met.binary_metrics(scored, by).join(met.roc_auc(scored, by), by)
 
 
+def hold_out_and_folds(df: DataFrame, feature_sets: dict[str, Sequence[str]], preset: Preset, k: int = 5) -> DataFrame:
+    """Per feature set: metrics of one stratified hold-out, and F1 over stratified folds of all rows."""
+    split = materialise(stratified_split(df, "label"), "split")
+    train, test = split.filter("is_test = 0"), split.filter("is_test = 1")
+
+    def task(name: str, features: Sequence[str]) -> Callable[[], DataFrame]:
+        return lambda: predict(fit(train, features, preset), test, features).withColumn("feature_set", F.lit(name))
+
+    scored = materialise(_union(in_parallel([task(n, fs) for n, fs in feature_sets.items()])), "hold-out")
+    folds = ablation(df, feature_sets, preset, k).select(
+        "feature_set", "n_features", F.col("f1_mean").alias("cv_f1_mean"), F.col("f1_sd").alias("cv_f1_sd")
+    )
+    return met.binary_metrics(scored, ["feature_set"]).join(folds, "feature_set")
+
+
 def ablation(df: DataFrame, feature_sets: dict[str, Sequence[str]], preset: Preset, k: int = 5) -> DataFrame:
     """Cross-validated metrics per feature set, all on the same folds."""
     runs = {n: ([f for f in fs if f in df.columns], preset) for n, fs in feature_sets.items()}
@@ -334,7 +424,7 @@ def importances(trained: Trained) -> list[tuple[str, float]] | None:
     last = trained.model.stages[-1]
     if hasattr(last, "featureImportances"):
         values = last.featureImportances.toArray()
-    elif hasattr(last, "coefficientMatrix"):
+    elif hasattr(last, "coefficientMatrix") and last.getFeaturesCol() == "inputs":
         values = np.abs(last.coefficients.toArray())
     else:
         return None
@@ -386,70 +476,51 @@ def importance_table(trained: Sequence[Trained], test: DataFrame) -> DataFrame:
     return _union(parts)
 
 
-def oversample_minority(
-    df: DataFrame, features: Sequence[str], label: str = "label", neighbours: int = 5, reach: int = 8, projections: int = 4
-) -> DataFrame:
-    """Balance the classes with points between minority rows and their near neighbours.
+def oversample_minority(df: DataFrame, features: Sequence[str], label: str = "label", neighbours: int = 5) -> DataFrame:
+    """Balance the classes with points between minority rows and their exact nearest neighbours.
 
-    Candidates are the next ``reach`` rows in the orders of several random
-    projections, so the work grows with the rows and copies of one point add
-    no pairs; each row keeps its ``neighbours`` nearest candidates.  The new
-    rows exactly fill the gap between the classes.
+    Distances are taken between features scaled by their deviation.  Each new point lies between a row and one of
+    its ``neighbours`` nearest rows, drawn by a hash of the row's key (topic and timestamp), so it depends on no
+    partitioning; a row's copies are neighbours at no distance.  The new rows exactly fill the gap between the
+    classes.  With fewer than two minority rows nothing is added.
     """
-    counts = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    sizes = counts.first()
-    minor = 1 if sizes["p"] <= sizes["n"] else 0
-    have, need = min(sizes["p"], sizes["n"]), abs(sizes["p"] - sizes["n"])
     base = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias(label))
     original = base.withColumn("synthetic", F.lit(0))
+    clean = df.select(*[finite_or_zero(F.col(f)).alias(f) for f in features], F.col(label).alias(label))
+    stats = moments(clean, features)
+    sizes = clean.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
+    minor = 1 if sizes["p"] <= sizes["n"] else 0
+    have, need = min(sizes["p"], sizes["n"]), abs(sizes["p"] - sizes["n"])
     if have < 2 or need == 0:
         return original
+    scaled = F.array(*[finite_or_zero(F.col(f)) / F.lit(s) for f, s in zip(features, stats.scale)])
     keyed = df.filter(F.col(label) == minor).select(
-        hash_order(F.col("topic"), F.col("timestamp")).alias("_id"),
-        F.array(*[finite_or_zero(F.col(f)) for f in features]).alias("_x"),
+        hash_order(F.col("topic"), F.col("timestamp")).alias("_id"), scaled.alias("x")
     )
     ranked = materialise(hash_rank(keyed, ["_id"]), "minority")
-    rng = np.random.default_rng(SEED)
-    slices = max(1, have // 50_000)
-    pairs = []
-    for j in range(projections):
-        w = F.array(*[F.lit(float(v)) for v in rng.normal(size=len(features))])
-        dot = F.aggregate(F.zip_with("_x", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        ordered = ranked.select("_id", "_x", dot.alias("_d")).repartitionByRange(slices, "_d", "_id")
-        along = Window.partitionBy("_part").orderBy("_d", "_id")
-        placed = ordered.withColumn("_part", F.spark_partition_id())
-        offsets = [*range(-reach, 0), *range(1, reach + 1)]
-        near = {
-            f"_n{i}": F.struct(F.lead("_id", i).over(along).alias("_other"), F.lead("_x", i).over(along).alias("_y"))
-            for i in offsets
-        }
-        listed = placed.withColumns(near)
-        pairs.append(
-            listed.select("_id", "_x", F.inline(F.array(*near))).filter(F.col("_other").isNotNull())
-        )
-    gap = F.aggregate(
-        F.zip_with("_x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
-    )
-    unique = _union(pairs).dropDuplicates(["_id", "_other"]).withColumn("_gap", gap)
-    nearest = Window.partitionBy("_id").orderBy("_gap", "_other")
-    kept = unique.withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= neighbours)
-    lists = kept.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_k", "_y"))).alias("_near"))
+    lists = nearest(ranked.select("x"), neighbours, len(features))
     copies = F.lit(need // have) + (F.col("rank") <= need % have).cast("int")
     jobs = ranked.withColumn("_copies", copies).filter("_copies > 0").withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
     )
-    pick = F.pmod(F.xxhash64("_id", "_copy", F.lit("pick")), F.size("_near")).cast("int")
+    # Own copies come first; the place drawn among all neighbours then names one of them.
+    own = F.least(F.col("copies") - 1, F.lit(neighbours).cast("long"))
+    others = F.aggregate("near", F.lit(0).cast("long"), lambda s, m: s + m["copies"])
+    known = F.least(own + others, F.lit(neighbours).cast("long"))
+    pick = F.pmod(F.xxhash64("_id", "_copy", F.lit("pick")), F.greatest(known, F.lit(1).cast("long")))
+    found = F.aggregate(
+        "near",
+        F.struct((F.col("_pick") - F.col("_own")).alias("left"), F.col("x").alias("y")),
+        lambda s, m: F.when(s["left"] < 0, s).otherwise(
+            F.struct((s["left"] - m["copies"]).alias("left"), m["y"].alias("y"))
+        ),
+    )["y"]
     weight = F.pmod(F.xxhash64("_id", "_copy", F.lit("weight")), F.lit(1_000_000)) / 1_000_000.0
-    placed = jobs.join(lists, "_id").select(
-        "_x", F.get(F.col("_near"), pick)["_y"].alias("_y"), weight.alias("_w")
-    )
-    point = placed.withColumn(
-        "_p", F.zip_with("_x", "_y", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    )
-    new = point.select(
+    drawn = jobs.join(lists, "x").withColumns({"_own": own, "_pick": pick}).select("x", found.alias("y"), weight.alias("w"))
+    new = drawn.select(
         *[
-            (F.col("_p")[i]["a"] + F.col("_w") * (F.col("_p")[i]["b"] - F.col("_p")[i]["a"])).alias(f)
-            for i, f in enumerate(features)
+            ((F.col("x")[i] + F.col("w") * (F.col("y")[i] - F.col("x")[i])) * F.lit(s)).alias(f)
+            for i, (f, s) in enumerate(zip(features, stats.scale))
         ],
         F.lit(minor).cast("int").alias(label),
         F.lit(1).alias("synthetic"),

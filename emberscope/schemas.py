@@ -35,11 +35,16 @@ ADDED_FEATURES = [
     "stance_against_mean", "stance_favor_mean", "stance_neutral_mean",
 ]
 FEATURES_16 = FEATURES_10 + ADDED_FEATURES
+FEATURES_14 = FEATURES_16  # published under this number, with ten features and six added ones
 FEATURES_17 = FEATURES_16 + ["topic_encoded"]
 ENGAGEMENT_FEATURES = [
     "avg_engagement", "total_engagement", "engagement_rate",
     "flame_engagement_score", "against_engagement_score",
 ]
+ENGAGEMENT_BASE = [
+    "volume", "negative_rate", "stance_against_rate", "stance_favor_rate",
+    "stance_neutral_rate", "delta_volume", "delta_volume_rate",
+]
 BASE_FEATURES = [
     "volume", "delta_volume", "negative_rate", "delta_negative_rate",
     "stance_favor_rate", "stance_against_rate", "stance_neutral_rate",
@@ -65,7 +70,7 @@ DICT_FEATURES = [
     "dict_flame_score", "against_count", "dict_negative_rate_log", "volume_log",
     "sentiment_polarity", "is_high_volume", "is_dict_high_negative", "is_both_dict_high",
 ]
-MODEL_AND_DICT_FEATURES = [
+BERT_AND_DICT_FEATURES = [
     "volume", "delta_volume", "negative_rate", "delta_negative_rate", "flame_score",
     "negative_rate_log", "is_high_negative", "dict_negative_rate",
     "delta_dict_negative_rate", "dict_flame_score", "dict_negative_rate_log",
@@ -81,9 +86,14 @@ FEATURE_SETS = {
     "optimized_new": OPTIMIZED_WITH_NEW,
 }
 SENTIMENT_FEATURE_SETS = {
-    "model_only": EXTENDED_FEATURES,
+    "bert_only": EXTENDED_FEATURES,
     "dict_only": DICT_FEATURES,
-    "model_and_dict": MODEL_AND_DICT_FEATURES,
+    "bert_and_dict": BERT_AND_DICT_FEATURES,
+}
+ENGAGEMENT_FEATURE_SETS = {
+    "base_7": ENGAGEMENT_BASE,
+    "extended_10": ENGAGEMENT_BASE + ["flame_score", "against_count", "sentiment_polarity"],
+    "engagement_15": ENGAGEMENT_BASE + ["flame_score", "against_count", "sentiment_polarity"] + ENGAGEMENT_FEATURES,
 }
 STANCE_FEATURE_SETS = {
     "with_stance": EXTENDED_FEATURES,

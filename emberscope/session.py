@@ -28,6 +28,7 @@ def build_session(
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.scheduler.mode": "FAIR",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -46,10 +47,46 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         unique = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-        return f"{base.rstrip('/')}/{name}-{unique}"
+        return _noted(f"{base.rstrip('/')}/{name}-{unique}")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.mkdtemp(prefix="emberscope-"), name)
+    return _noted(os.path.join(tempfile.mkdtemp(prefix="emberscope-"), name))
+
+
+def _noted(folder: str) -> str:
+    for block in Scratch.open_blocks:
+        block.folders.append(folder)
+    return folder
+
+
+class Scratch:
+    """The folders that ``shared_dir`` has given out inside a ``with`` block; those not kept are removed at its end."""
+
+    open_blocks: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open_blocks.append(self)
+        return self
+
+    def keep(self, prefix: str) -> list[str]:
+        """Spare the folders whose name starts with ``prefix``; returns them."""
+        kept = [f for f in self.folders if f.rsplit("/", 1)[-1].startswith(prefix)]
+        self.folders = [f for f in self.folders if f not in kept]
+        return kept
+
+    def __exit__(self, *error: object) -> None:
+        Scratch.open_blocks.remove(self)
+        for folder in self.folders:
+            remove_folder(self.spark, folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of intermediate data, wherever it is stored; one that does not exist is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

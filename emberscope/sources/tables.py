@@ -28,6 +28,12 @@ def write_table(df: DataFrame, path: str, partition: str | None = "topic", order
     writer.format(fmt).save(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a complete table was written to ``path``."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done)
+
+
 def write_if_absent(df: DataFrame, path: str, force: bool = False, **kwargs) -> None:
     """Skip the work when the table exists, unless forced."""
     write_table(df, path, mode="overwrite" if force else "ignore", **kwargs)
