@@ -109,7 +109,7 @@ class Tables:
     @cached_property
     def doc_polarity(self) -> DataFrame:
         """Dictionary sentiment per distinct text, not per post."""
-        scored = lex.with_token_sentiment(self.doc_texts, self.lexicon, "text", ["doc_id"])
+        scored = lex.with_token_sentiment(self.doc_texts, self.lexicon, "text")
         return scored.select(
             "doc_id", F.col("text").isNotNull().alias("has_text"),
             "positive_score", "negative_score", "polarity", "sentiment", "word_count",
@@ -134,7 +134,7 @@ class Tables:
     @cached_property
     def doc_substring(self) -> DataFrame:
         return lex.substring_score(
-            self.doc_texts, self.substring_lexicon, "text", ["doc_id"]
+            self.doc_texts, self.substring_lexicon, "text"
         ).select("doc_id", "sentiment_score")
 
     def with_stance(self, df: DataFrame) -> DataFrame:

@@ -469,23 +469,22 @@ LEVEL_SQL = """CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high
 
 @query(
     "f20_score_bands",
-    f"""SELECT topic, "timestamp", score, {LEVEL_SQL} AS level FROM (
-          SELECT topic, "timestamp", CAST(trunc(probability * 100) AS INTEGER) AS score FROM rules WHERE model = 'blend')""",
+    f"""SELECT model, topic, "timestamp", score, {LEVEL_SQL} AS level FROM (
+          SELECT model, topic, "timestamp", CAST(trunc(probability * 100) AS INTEGER) AS score FROM rules)""",
 )
 def _f20(t: Tables) -> DataFrame:
-    blend = t.rules.filter("model = 'blend'")
-    scored = blend.withColumn("score", sc.percent_score(C("probability")))
-    return scored.select("topic", "timestamp", "score", sc.score_level(C("score")).alias("level"))
+    scored = t.rules.withColumn("score", sc.percent_score(C("probability")))
+    return scored.select("model", "topic", "timestamp", "score", sc.score_level(C("score")).alias("level"))
 
 
 @query(
     "f21_alert_class",
-    """SELECT topic, "timestamp", CASE WHEN score >= 60 THEN 'warning' WHEN score >= 40 THEN 'caution' ELSE 'calm' END AS alert
-       FROM (SELECT topic, "timestamp", trunc(probability * 100) AS score FROM rules WHERE model = 'blend')""",
+    """SELECT model, topic, "timestamp", CASE WHEN score >= 60 THEN 'warning' WHEN score >= 40 THEN 'caution' ELSE 'calm' END AS alert
+       FROM (SELECT model, topic, "timestamp", trunc(probability * 100) AS score FROM rules)""",
 )
 def _f21(t: Tables) -> DataFrame:
     score = sc.percent_score(C("probability"))
-    return t.rules.filter("model = 'blend'").select("topic", "timestamp", sc.alert_class(score).alias("alert"))
+    return t.rules.select("model", "topic", "timestamp", sc.alert_class(score).alias("alert"))
 
 
 @query(
@@ -641,4 +640,4 @@ def word_tokenizer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 )
 def _d5(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text")
-    return lex.token_weights(docs, t.lexicon, "text", ["doc_id"], tokenizer=word_tokenizer).drop("text")
+    return lex.token_weights(docs, t.lexicon, "text", tokenizer=word_tokenizer).drop("text")

@@ -174,6 +174,21 @@ def _s17(t: Tables) -> DataFrame:
     return mo.predict(model, rows, record["features"])
 
 
+@query("s17_reloaded_model", 'SELECT topic, "timestamp", is_controversy AS label, TRUE AS same FROM labelled')
+def _s17b(t: Tables) -> DataFrame:
+    """A reloaded model says the same of every row as the one that was saved."""
+    rows = training_rows(t)
+    root = shared_dir(t.spark, "model")
+    saved = mo.fit(rows, FEATURES_10, mo.PRESETS["logistic"])
+    tab.save_model(saved, root, {"features": FEATURES_10, "threshold": 0.5})
+    model, record = tab.load_model(t.spark, root)
+    before = mo.predict(saved, rows, FEATURES_10).withColumnRenamed("probability", "before")
+    after = mo.predict(model, rows, record["features"])
+    return after.join(before, ["topic", "timestamp", "label"]).select(
+        "topic", "timestamp", "label", (C("probability") == C("before")).alias("same")
+    )
+
+
 @query(
     "s18_importance_from_metadata",
     "SELECT model, feature, importance FROM importance",

@@ -15,11 +15,16 @@ from emberscope.operators import modelling as mo
 from emberscope.operators import scoring as sco
 from emberscope.operators import series as ser
 from emberscope.operators import stance as st
+from emberscope.functions.scores import score_level
+from emberscope.plans import jobs
 from emberscope.plans.bindings import Tables
+from emberscope.plans.constants import NEGATIVE_WORDS, POSITIVE_WORDS
 from emberscope.plans.registry import query
 from emberscope.schemas import (
+    ENGAGEMENT_FEATURE_SETS,
     FEATURE_SETS,
     FEATURES_10,
+    FEATURES_14,
     FEATURES_16,
     FEATURES_17,
     OPTIMIZED_FEATURES,
@@ -44,7 +49,14 @@ def wide_rows(t: Tables) -> DataFrame:
     return mo.materialise(df.withColumn("label", C("is_controversy")), "wide")
 
 
-@query("m1_assemble_features")
+ASSEMBLED_SQL = ", ".join(f"CASE WHEN isfinite({c}) THEN CAST({c} AS DOUBLE) ELSE 0 END" for c in FEATURES_16)
+
+
+@query(
+    "m1_assemble_features",
+    f"""SELECT topic, "timestamp", {len(FEATURES_16)} AS n_features, greatest({ASSEMBLED_SQL}) AS largest FROM labelled""",
+    doubles=["largest"],
+)
 def _m1(t: Tables) -> DataFrame:
     clean = t.labelled.select("topic", "timestamp", *[finite_or_zero(C(c)).alias(c) for c in FEATURES_16])
     out = VectorAssembler(inputCols=FEATURES_16, outputCol="v", handleInvalid="keep").transform(clean)
@@ -132,6 +144,106 @@ def _m18c(t: Tables) -> DataFrame:
     return _ablation(t, STANCE_FEATURE_SETS)
 
 
+@query("m18_14_features")
+def _m18e(t: Tables) -> DataFrame:
+    """Ten features against the set published under 14: hold-out, folds and held-out topics."""
+    rows = wide_rows(t)
+    sets = {"10": FEATURES_10, "14": FEATURES_14}
+    standard = mo.hold_out_and_folds(rows, sets, mo.CROSS_TOPIC)
+    cross = [
+        mo.summarise(mo.cross_topic(rows, fs, {n: mo.CROSS_TOPIC}), ["model"], ["f1"]).select(
+            C("model").alias("feature_set"), C("f1_mean").alias("cross_f1_mean"), C("f1_sd").alias("cross_f1_sd")
+        )
+        for n, fs in sets.items()
+    ]
+    return standard.join(cross[0].unionByName(cross[1]), "feature_set")
+
+
+@query("m18_engagement_sets")
+def _m18f(t: Tables) -> DataFrame:
+    """Seven, ten and fifteen features, the last with virtual engagement."""
+    key = F.concat_ws("|", "topic", C("timestamp").cast("string"))
+    rows = t.labelled.withColumn("label", C("is_controversy"))
+    virtual = mo.materialise(comp.with_virtual_engagement(rows, key), "virtual")
+    return mo.hold_out_and_folds(virtual, ENGAGEMENT_FEATURE_SETS, mo.FEATURE_ABLATION)
+
+
+@query("m3_single_topics")
+def _m3c(t: Tables) -> DataFrame:
+    """A model of its own for every topic that has both labels."""
+    return jobs.train_single_topics(t.labelled, FEATURES_16)["metrics"]
+
+
+@query(
+    "m3_single_topic_sizes",
+    """SELECT topic, model, CAST(sum(cut) AS BIGINT) AS n_test, CAST(sum(CASE WHEN label = 1 THEN cut ELSE 0 END) AS BIGINT) AS n_positive FROM (
+         SELECT topic, is_controversy AS label, CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS cut FROM labelled GROUP BY 1, 2)
+       , (SELECT unnest(['stump', 'trees']) AS model)
+       WHERE topic IN (SELECT topic FROM labelled GROUP BY 1 HAVING count(DISTINCT is_controversy) = 2) GROUP BY 1, 2""",
+)
+def _m3d(t: Tables) -> DataFrame:
+    """The same job with small models: which topics it takes and what it holds out."""
+    small = {"stump": mo.Preset("gbt", {"maxIter": 2, "maxDepth": 1}, weighted=True), "trees": mo.Preset("forest", {"numTrees": 3, "maxDepth": 2})}
+    m = jobs.train_single_topics(t.labelled, FEATURES_16, small)["metrics"]
+    positive = C("tp") + C("fn")
+    return m.select("topic", "model", (positive + C("fp") + C("tn")).alias("n_test"), positive.alias("n_positive"))
+
+
+QUICK = {"logistic": mo.Preset("logistic", {"C": 1.0, "maxIter": 20}, scaled=True), "trees": mo.Preset("forest", {"numTrees": 3, "maxDepth": 2})}
+
+
+@query(
+    "m16_grid_sizes",
+    """SELECT topic, model, (SELECT count(*) FROM labelled) - n AS n_train, n AS n_test, positives FROM (
+         SELECT topic, count(*) AS n, CAST(sum(is_controversy) AS BIGINT) AS positives FROM labelled GROUP BY 1),
+       (SELECT unnest(['logistic', 'trees']) AS model) WHERE n >= 5""",
+)
+def _m16b(t: Tables) -> DataFrame:
+    """The grid of models and held-out topics with small models: its rows, sizes and positives."""
+    grid = mo.cross_topic(training_rows(t), FEATURES_16, QUICK)
+    return grid.select("topic", "model", "n_train", "n_test", (C("tp") + C("fn")).alias("positives"))
+
+
+@query(
+    "m18_set_sizes",
+    f"""SELECT feature_set, n_features, n_test, n_positive FROM (VALUES {', '.join(f"('{n}', {len(fs)})" for n, fs in ENGAGEMENT_FEATURE_SETS.items())}) v(feature_set, n_features),
+        (SELECT CAST(sum(cut) AS BIGINT) AS n_test, CAST(max(cut) FILTER (WHERE label = 1) AS BIGINT) AS n_positive FROM (
+           SELECT is_controversy AS label, CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS cut FROM labelled GROUP BY 1))""",
+)
+def _m18g(t: Tables) -> DataFrame:
+    """The ablation with a small model: its sets and what it holds out."""
+    key = F.concat_ws("|", "topic", C("timestamp").cast("string"))
+    rows = mo.materialise(comp.with_virtual_engagement(t.labelled.withColumn("label", C("is_controversy")), key), "virtual")
+    out = mo.hold_out_and_folds(rows, ENGAGEMENT_FEATURE_SETS, QUICK["trees"], k=2)
+    positive = C("tp") + C("fn")
+    return out.select("feature_set", "n_features", (positive + C("fp") + C("tn")).alias("n_test"), positive.alias("n_positive"))
+
+
+@query(
+    "m8_oversample_counts",
+    """SELECT is_controversy AS label, CASE WHEN n < top THEN top ELSE n END AS n, top - n AS synthetic FROM (
+         SELECT is_controversy, count(*) AS n, max(count(*)) OVER () AS top FROM labelled GROUP BY 1)""",
+)
+def _m8b(t: Tables) -> DataFrame:
+    out = mo.oversample_minority(training_rows(t), FEATURES_10)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("synthetic").cast("bigint").alias("synthetic"))
+
+
+@query(
+    "f25_virtual_engagement_bounds",
+    """SELECT topic, "timestamp", flame_score, TRUE AS in_bounds, TRUE AS adds_up FROM labelled""",
+    doubles=["flame_score"],
+)
+def _f25(t: Tables) -> DataFrame:
+    """The factor lies in [0.5, 1.5) and the other columns follow from it."""
+    key = F.concat_ws("|", "topic", C("timestamp").cast("string"))
+    rows = comp.with_virtual_engagement(t.labelled, key)
+    low, high = C("flame_score") * 0.5, C("flame_score") * 1.5
+    total = C("avg_engagement") * C("volume")
+    near = (F.abs(C("total_engagement") - total) < 1e-9) & (F.abs(C("engagement_rate") - total / (C("volume") + 1)) < 1e-9)
+    return rows.select("topic", "timestamp", "flame_score", C("avg_engagement").between(low, high).alias("in_bounds"), near.alias("adds_up"))
+
+
 @query("m18_10_16_17_features")
 def _m18d(t: Tables) -> DataFrame:
     return _ablation(t, {"10": FEATURES_10, "16": FEATURES_16, "17": FEATURES_17})
@@ -164,6 +276,31 @@ def _m26(t: Tables) -> DataFrame:
     return sco.score_series(t.analysed, model, OPTIMIZED_FEATURES)
 
 
+@query(
+    "m26_series_windows",
+    """SELECT topic, "timestamp", volume, negative_rate, TRUE AS fits FROM scoring_series""",
+    doubles=["negative_rate"],
+)
+def _m26b(t: Tables) -> DataFrame:
+    """The windows that are scored, and whether score and level follow from the probability."""
+    model, _ = scoring_model(t)
+    out = sco.score_series(t.analysed, model, OPTIMIZED_FEATURES)
+    fits = C("probability").between(0, 1) & (C("score") == F.floor(C("probability") * 100)) & (C("level") == score_level(C("score")))
+    return out.select("topic", "timestamp", "volume", "negative_rate", fits.alias("fits"))
+
+
+@query(
+    "m27_current_windows",
+    """SELECT n.topic, w."timestamp", w.volume, w.topic IS NULL AS is_unknown FROM (
+         SELECT topic FROM posts UNION SELECT lang FROM documents) n
+       LEFT JOIN (SELECT topic, "timestamp", volume FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY "timestamp" DESC) AS rn
+                  FROM scoring_series) WHERE rn = 1) w ON w.topic = n.topic""",
+)
+def _m27b(t: Tables) -> DataFrame:
+    """Which window stands for each topic, and which topics have none."""
+    return _m27(t).select("topic", "timestamp", "volume", (C("level") == "unknown").alias("is_unknown"))
+
+
 @query("m27_current_score")
 def _m27(t: Tables) -> DataFrame:
     model, rows = scoring_model(t)
@@ -199,8 +336,6 @@ def hit_scorer():
     """A stand-in batch scorer: softmax of word hits, as a model would return."""
     import numpy as np
 
-    from emberscope.plans.constants import NEGATIVE_WORDS, POSITIVE_WORDS
-
     good, bad = set(POSITIVE_WORDS), set(NEGATIVE_WORDS)
 
     def score(texts: list[str]) -> dict[str, list[float]]:
@@ -212,7 +347,20 @@ def hit_scorer():
     return score
 
 
-@query("d4_batch_scorer")
+D4_SQL = """SELECT doc_id, CASE WHEN p >= greatest(u, n) THEN 'POSITIVE' WHEN u >= n THEN 'NEUTRAL' ELSE 'NEGATIVE' END AS bert_label,
+       p AS bert_positive, u AS bert_neutral, n AS bert_negative FROM (
+         SELECT doc_id, exp(a - m) / z AS p, exp(-m) / z AS u, exp(b - m) / z AS n FROM (
+           SELECT *, exp(a - m) + exp(-m) + exp(b - m) AS z FROM (
+             SELECT doc_id, a, b, CAST(greatest(a, b, 0) AS DOUBLE) AS m FROM (
+               SELECT doc_id, len(list_filter(words, lambda w: w IN {good})) AS a, len(list_filter(words, lambda w: w IN {bad})) AS b FROM (
+                 SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x85]+') AS words FROM documents)))))"""
+
+
+@query(
+    "d4_batch_scorer",
+    D4_SQL.format(good=f"({', '.join(repr(w) for w in POSITIVE_WORDS)})", bad=f"({', '.join(repr(w) for w in NEGATIVE_WORDS)})"),
+    doubles=["bert_positive", "bert_neutral", "bert_negative"],
+)
 def _d4(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", C("text").alias("content"))
     scored = sco.score_posts(docs, hit_scorer, ["POSITIVE", "NEUTRAL", "NEGATIVE"], "bert")

@@ -90,6 +90,7 @@ def _a16(t: Tables) -> DataFrame:
     """SELECT topic, count(*) AS n, min("timestamp") AS "start", max("timestamp") AS "end",
               count(DISTINCT reply_count) AS files,
               string_agg(DISTINCT 'q' || (like_count % 3), ',' ORDER BY 'q' || (like_count % 3)) AS queries,
+              count(DISTINCT 'q' || (like_count % 3)) AS query_count,
               CAST(floor(date_diff('second', min("timestamp"), max("timestamp")) / 86400) + 1 AS BIGINT) AS days
        FROM posts GROUP BY 1""",
 )
@@ -179,17 +180,16 @@ def _a26(t: Tables) -> DataFrame:
 
 @query(
     "a27_score_summary",
-    """SELECT topic, arg_max(score, "timestamp") AS latest_score, avg(score) AS mean_score, max(score) AS max_score,
+    """SELECT topic, model, arg_max(score, "timestamp") AS latest_score, avg(score) AS mean_score, max(score) AS max_score,
               count(*) AS windows FROM (
-         SELECT topic, "timestamp", CAST(trunc(probability * 100) AS BIGINT) AS score FROM rules WHERE model = 'blend')
-       GROUP BY 1""",
+         SELECT topic, model, "timestamp", CAST(trunc(probability * 100) AS BIGINT) AS score FROM rules)
+       GROUP BY 1, 2""",
     doubles=["mean_score"],
 )
 def _a27(t: Tables) -> DataFrame:
     from emberscope.functions.scores import percent_score
 
-    blend = t.rules.filter("model = 'blend'").withColumn("score", percent_score(C("probability")))
-    return rep.score_summary(blend)
+    return rep.score_summary(t.rules.withColumn("score", percent_score(C("probability"))), ["topic", "model"])
 
 
 NULLABLE = ["negative_rate", "stance_favor_rate", "flame_score", "volume"]
@@ -284,14 +284,15 @@ def _u3b(t: Tables) -> DataFrame:
 
 @query(
     "j4_join_result_sets",
-    """SELECT topic, f1_a, f1_b, (f1_b - f1_a) * 100 AS f1_diff FROM (
-         SELECT a.topic, a.f1 AS f1_a, b.f1 AS f1_b FROM topic_metrics a JOIN topic_metrics b
-              ON a.topic = b.topic AND a.model = 'blend' AND b.model = 'negativity')""",
+    """SELECT topic, model, f1_a, f1_b, (f1_b - f1_a) * 100 AS f1_diff FROM (
+         SELECT a.topic, b.model, a.f1 AS f1_a, b.f1 AS f1_b FROM topic_metrics a JOIN topic_metrics b
+              ON a.topic = b.topic AND a.model = 'blend' AND b.model <> 'blend')""",
     doubles=["f1_a", "f1_b", "f1_diff"],
 )
 def _j4(t: Tables) -> DataFrame:
+    """Every other model against the first."""
     m = met.binary_metrics(t.rules, ["topic", "model"])
-    return rep.result_difference(m.filter("model = 'blend'"), m.filter("model = 'negativity'"), "topic", "f1", ("_a", "_b"))
+    return rep.result_difference(m.filter("model = 'blend'"), m.filter("model <> 'blend'"), "topic", "f1", ("_a", "_b"), ["model"])
 
 
 @query(
@@ -526,16 +527,19 @@ def _m15(t: Tables) -> DataFrame:
     )
 
 
+DELTAS_SQL = """SELECT b.model, b.topic, a.f1 AS "before", b.f1 AS "after" FROM topic_metrics a JOIN topic_metrics b
+                ON b.model = a.model AND a.topic = 'click' AND b.topic <> 'click'"""
+
+
 @query(
     "m20_run_deltas",
-    """SELECT model, "before", "after", ("after" - "before") * 100 AS points, ("after" - "before") / nullif("before", 0) * 100 AS percent FROM (
-         SELECT model, max(f1) FILTER (WHERE topic = 'click') AS "before", max(f1) FILTER (WHERE topic = 'error') AS "after"
-         FROM topic_metrics GROUP BY 1)""",
+    f"""SELECT model, topic, "before", "after", ("after" - "before") * 100 AS points,
+               ("after" - "before") / nullif("before", 0) * 100 AS percent FROM ({DELTAS_SQL})""",
     doubles=['"before"', '"after"', "points", "percent"],
 )
 def _m20(t: Tables) -> DataFrame:
-    m = met.binary_metrics(t.rules, ["topic", "model"])
-    return rep.run_deltas(m, "f1", C("topic") == "click", C("topic") == "error")
+    """Every other topic against the first."""
+    return rep.run_deltas(met.binary_metrics(t.rules, ["topic", "model"]), "f1", "topic", "click")
 
 
 @query(
@@ -552,39 +556,41 @@ def _m21(t: Tables) -> DataFrame:
 
 @query(
     "m21_improved_models",
-    """SELECT count(*) FILTER (WHERE e > c) AS improved, count(*) AS models FROM (
-         SELECT model, max(f1) FILTER (WHERE topic = 'click') AS c, max(f1) FILTER (WHERE topic = 'error') AS e
-         FROM topic_metrics GROUP BY 1)""",
+    f"""SELECT topic, count(*) FILTER (WHERE "after" > "before") AS improved, count(*) AS models FROM ({DELTAS_SQL}) GROUP BY 1""",
 )
 def _m21b(t: Tables) -> DataFrame:
-    m = met.binary_metrics(t.rules, ["topic", "model"])
-    deltas = rep.run_deltas(m, "f1", C("topic") == "click", C("topic") == "error")
-    return deltas.agg(F.count_if(C("after") > C("before")).alias("improved"), F.count(F.lit(1)).alias("models"))
+    deltas = rep.run_deltas(met.binary_metrics(t.rules, ["topic", "model"]), "f1", "topic", "click")
+    return deltas.groupBy("topic").agg(
+        F.count_if(C("after") > C("before")).alias("improved"), F.count(F.lit(1)).alias("models")
+    )
 
 
 @query(
     "m22_missed_positives",
-    """SELECT count(*) AS missed, avg(volume) AS mean_volume, avg(negative_rate) AS mean_negative_rate,
-              avg(flame_score) AS mean_flame_score FROM predictions WHERE model = 'blend' AND label = 1 AND prediction = 0""",
+    """SELECT model, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS missed,
+              avg(volume) FILTER (WHERE label = 1 AND prediction = 0) AS mean_volume,
+              avg(negative_rate) FILTER (WHERE label = 1 AND prediction = 0) AS mean_negative_rate,
+              avg(flame_score) FILTER (WHERE label = 1 AND prediction = 0) AS mean_flame_score FROM predictions GROUP BY 1""",
     doubles=["mean_volume", "mean_negative_rate", "mean_flame_score"],
 )
 def _m22(t: Tables) -> DataFrame:
-    return met.missed_positives(t.predictions.filter("model = 'blend'"), ["volume", "negative_rate", "flame_score"])
+    return met.missed_positives(t.predictions, ["volume", "negative_rate", "flame_score"], by=["model"])
 
 
 @query(
     "m23_topic_accuracy",
-    f"""SELECT topic, count(*) AS n, avg(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS accuracy FROM (
-          SELECT p.topic, p.label, p.prediction FROM predictions p JOIN (
+    f"""SELECT topic, model, count(*) AS n, avg(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS accuracy FROM (
+          SELECT p.topic, p.model, p.label, p.prediction FROM predictions p JOIN (
             SELECT topic, "timestamp", row_number() OVER (PARTITION BY is_controversy ORDER BY {HASH_SQL}, topic, "timestamp") AS rn,
                    count(*) OVER (PARTITION BY is_controversy) AS n FROM labelled) s
-          ON s.topic = p.topic AND s."timestamp" = p."timestamp" WHERE p.model = 'blend' AND s.rn <= ceil(s.n * 0.2::DOUBLE)) GROUP BY 1""",
+          ON s.topic = p.topic AND s."timestamp" = p."timestamp" WHERE s.rn <= ceil(s.n * 0.2::DOUBLE)) GROUP BY 1, 2""",
     doubles=["accuracy"],
 )
 def _m23(t: Tables) -> DataFrame:
-    blend = t.predictions.filter("model = 'blend'").select(*KEYS, "label", "prediction")
-    split = sp.stratified_split(blend, label="label")
-    return met.topic_accuracy(split.filter("is_test = 1"))
+    """Every model on the same hold-out rows: each is split by the same hash within model and label."""
+    marked = t.predictions.select(*KEYS, "model", "label", "prediction", F.concat_ws("|", "model", "label").alias("stratum"))
+    split = sp.stratified_split(marked, label="stratum")
+    return met.topic_accuracy(split.filter("is_test = 1"), by=["topic", "model"])
 
 
 @query(

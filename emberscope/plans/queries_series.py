@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscope.operators import features as feat
@@ -77,6 +77,20 @@ def _a2(t: Tables) -> DataFrame:
     return ser.resolution_summary(t.posts)
 
 
+@query(
+    "a2_resolution_summary_odd",
+    " UNION ALL ".join(
+        f"""SELECT topic, '{w}' AS width, count(*) AS windows, avg("count") AS mean_count, max("count") AS max_count,
+                   min("count") AS min_count FROM ({_filled_counts_sql(m)}) GROUP BY 1"""
+        for w, m in (("10 minutes", 10), ("15 minutes", 15), ("6 hours", 360))
+    ),
+    doubles=["mean_count"],
+)
+def _a2b(t: Tables) -> DataFrame:
+    """Widths of which one does not divide another."""
+    return ser.resolution_summary(t.posts, ("10 minutes", "15 minutes", "6 hours"))
+
+
 @query(
     "a3_lexicon_series",
     """SELECT g.topic, g."timestamp", coalesce(s.n, 0) AS "count", s.avg_score, s.negative_rate
@@ -255,8 +269,13 @@ def _j5(t: Tables) -> DataFrame:
 
 @query("j5_interval_labels_by_day", """SELECT topic, "timestamp", volume, is_controversy FROM labelled""")
 def _j5b(t: Tables) -> DataFrame:
-    out = lab.apply_intervals(t.composites, t.intervals, max_broadcast=0)
-    return out.select(*KEYS, "volume", "is_controversy")
+    """Intervals cut into days beforehand, so neighbours touch at midnight, give the same labels."""
+    days = F.explode(F.sequence(F.to_date("start"), F.to_date("end"), F.expr("INTERVAL '1 day'")))
+    cut = t.intervals.withColumn("day", days).select(
+        "topic", F.greatest("start", C("day").cast("timestamp_ntz")).alias("start"),
+        F.least("end", F.date_add("day", 1).cast("timestamp_ntz")).alias("end"),
+    )
+    return lab.apply_intervals(t.composites, cut).select(*KEYS, "volume", "is_controversy")
 
 
 @query(
@@ -270,11 +289,30 @@ def _j5c(t: Tables) -> DataFrame:
     return out.select(*KEYS, "is_controversy")
 
 
-@query("s11_usable_intervals", """SELECT topic, "start", "end", "label", description, n FROM intervals
-        JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) e ON e.event_type = topic""")
+RAW_PERIODS_SQL = """SELECT event_type AS topic, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS "position",
+              CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS "start",
+              CASE WHEN event_id % 7 = 0 THEN NULL
+                   ELSE strftime(ts + to_hours(CAST(event_id % 11 - 3 AS INTEGER)), '%Y-%m-%d %H:%M:%S') END AS "end",
+              CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'l' || event_id END AS "label",
+              CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'd' END AS description FROM events"""
+
+
+@query("s11_usable_intervals", f"""SELECT topic, "start", "end", coalesce("label", 'period_' || "position") AS "label",
+        coalesce(description, '') AS description FROM (SELECT * REPLACE (try_cast("start" AS TIMESTAMP) AS "start",
+        try_cast("end" AS TIMESTAMP) AS "end") FROM ({RAW_PERIODS_SQL})) WHERE "start" <= "end" """)
 def _s11(t: Tables) -> DataFrame:
-    sizes = t.events.groupBy(C("event_type").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
-    return t.intervals.join(sizes, "topic")
+    """A label table of one text row per event, with gaps, unreadable and inverted bounds."""
+    id_ = C("event_id")
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    raw = t.events.select(
+        C("event_type").alias("topic"),
+        F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).alias("position"),
+        F.when(id_ % 5 == 0, None).when(id_ % 5 == 1, "soon").otherwise(F.date_format("ts", stamp)).alias("start"),
+        F.when(id_ % 7 != 0, F.date_format(F.timestamp_add("HOUR", (id_ % 11 - 3).cast("int"), C("ts")), stamp)).alias("end"),
+        F.when(id_ % 3 != 0, F.concat(F.lit("l"), id_.cast("string"))).alias("label"),
+        F.when(id_ % 4 != 0, "d").alias("description"),
+    )
+    return lab.usable_intervals(raw)
 
 
 @query(
@@ -299,15 +337,15 @@ def _j6(t: Tables) -> DataFrame:
 @query("j6_substring_score_grams", "SELECT doc_id, sentiment_score FROM doc_substring")
 def _j6b(t: Tables) -> DataFrame:
     """The lookup used for lexicons too long for one test per word."""
-    scored = lex.substring_score(t.doc_texts, t.substring_lexicon, "text", ["doc_id"], contains_words=0)
+    scored = lex.substring_score(t.doc_texts, t.substring_lexicon, "text", contains_words=0)
     return scored.select("doc_id", "sentiment_score")
 
 
 @query("j6_substring_score_join", "SELECT doc_id, sentiment_score FROM doc_substring")
 def _j6c(t: Tables) -> DataFrame:
-    """The join used for lexicons too large for literals."""
+    """The index used for lexicons too large for literals."""
     docs = t.doc_texts
-    scored = lex.substring_score(docs, t.substring_lexicon, "text", ["doc_id"], contains_words=0, inline_words=0)
+    scored = lex.substring_score(docs, t.substring_lexicon, "text", contains_words=0, inline_words=0)
     return scored.select("doc_id", "sentiment_score")
 
 
@@ -319,7 +357,7 @@ def _j6c(t: Tables) -> DataFrame:
 def _j7(t: Tables) -> DataFrame:
     """The join used for lexicons too large for literals."""
     docs = t.doc_texts
-    out = lex.token_weights(docs, t.lexicon, "text", ["doc_id"], inline_words=0)
+    out = lex.token_weights(docs, t.lexicon, "text", inline_words=0)
     return out.drop("text")
 
 
@@ -329,7 +367,7 @@ def _j7(t: Tables) -> DataFrame:
     doubles=["positive_score", "negative_score"],
 )
 def _j7b(t: Tables) -> DataFrame:
-    out = lex.token_weights(t.doc_texts, t.lexicon, "text", ["doc_id"])
+    out = lex.token_weights(t.doc_texts, t.lexicon, "text")
     return out.drop("text")
 
 

@@ -146,6 +146,76 @@ def test_reader_unites_headers_and_fills_short_rows(spark, tmp_path):
         assert raw.select("source_path").distinct().count() == 2
 
 
+def test_lines_know_their_quotes():
+    import pyarrow as pa
+
+    from emberscope.sources.csv_records import line_steps, states
+
+    def end(line, inside):  # one character after the other
+        at_start, i = not inside, 0
+        while i < len(line):
+            c = line[i]
+            if inside:
+                if c == '"' and line[i + 1 : i + 2] == '"':
+                    i += 1
+                elif c == '"':
+                    inside = False
+            elif c == '"' and at_start:
+                inside = True
+            at_start = c == "," and not inside
+            i += 1
+        return int(inside)
+
+    rng = np.random.default_rng(1)
+    lines = ["".join(rng.choice(list('aa,,""')) for _ in range(rng.integers(0, 9))) for _ in range(4000)]
+    odd = [x for x in lines if '"""' not in x.replace('""""', "")]
+    out, into = line_steps(pa.array(odd))
+    assert out.tolist() == [end(x, False) for x in odd] and into.tolist() == [end(x, True) for x in odd]
+    for start in (0, 1):
+        state, want = start, []
+        for x in odd:
+            state = end(x, bool(state))
+            want.append(state)
+        assert states(out, into, start).tolist() == want
+
+
+def test_large_csv_files_are_read_by_many_tasks(spark, tmp_path):
+    folder = tmp_path / "original" / "t"
+    folder.mkdir(parents=True)
+    rng = np.random.default_rng(3)
+    pieces = ["a", 'x ""y""', "line\nbreak", "# no comment", "\n\n", "é,日本", '5"" tv', "\n# neither\n", ""]
+    head = "date,id,url,content,user,user_displayname,reply_count,retweet_count,like_count\n"
+    want = {}
+    for f in range(3):
+        body = ["# about\n" + head]
+        for i in range(400):
+            text = "".join(rng.choice(pieces) for _ in range(rng.integers(1, 12)))
+            want[f"{f}-{i}"] = text.replace('""', '"')
+            body.append(f'2023-01-29,{f}-{i},u,"{text}",a 5" b,A,1,2,3\n')
+            if i % 50 == 0:
+                body.append('# a "comment\n')
+        (folder / f"f{f}.csv").write_text("".join(body), encoding="utf-8")
+    long = "\n".join(["word, word"] * 3000)
+    (folder / "long.csv").write_text(head + f'2023-01-29,l,u,"{long}",a,A,1,2,3\n2023-01-29,m,u,x,a,A,1,2,3', encoding="utf-8")
+    want |= {"l": long, "m": "x"}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        results = []
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            raw = src.read_raw_posts(spark, str(tmp_path / "original"))
+            rows = raw.select("id", "content", "user", "like_count", "source_file", "topic", "file_offset", "row_pos").collect()
+            assert {r.id: r.content or "" for r in rows} == want and len(rows) == len(want)
+            assert {(r.like_count, r.topic) for r in rows} == {("3", "t")} and {r.user for r in rows} == {'a 5" b', "a"}
+            results.append(sorted((r.source_file, r.file_offset, r.row_pos, r.id) for r in rows))
+        assert len({r[1] for r in results[0]}) == 1 and len({r[1] for r in results[1]}) > 10
+        for rows in results:  # the order of the file
+            for f in range(3):
+                assert [r[3] for r in rows if r[0] == f"f{f}.csv"] == [f"{f}-{i}" for i in range(400)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_times_in_other_formats(spark):
     from emberscope.functions.times import parse_utc
 
@@ -177,6 +247,122 @@ def test_polarity_dictionary_encodings(spark, tmp_path, encoding):
     assert got == {"良い": 1, "悪い": -1}
 
 
+def test_stream_equals_batch_over_empty_windows(spark, tmp_path):
+    """Windows in several batches, with gaps inside a batch and between batches."""
+    from emberscope.streaming import windows as win
+
+    def hour(day, h):
+        return f"2024-01-{day:02d} {h:02d}:00:00"
+
+    batches = [
+        [("a", hour(1, 0), 4, 0.5), ("a", hour(1, 3), 2, 0.25), ("b", hour(1, 1), 1, None)],
+        [("a", hour(1, 6), 6, 0.75), ("b", hour(1, 2), 3, 0.5)],
+        [("a", hour(1, 7), 1, 0.0), ("b", hour(1, 9), 2, 1.0), ("c", hour(1, 9), 2, 1.0)],
+    ]
+    schema = "topic string, timestamp timestamp_ntz, volume long, negative_rate double, stance_favor_rate double, stance_against_rate double, stance_neutral_rate double"
+    rows = [[(t, None if x is None else x, v, n, 0.2, 0.3, 0.5) for t, x, v, n in b] for b in batches]
+    import datetime as dt
+
+    for k, batch in enumerate(rows):
+        typed = [(t, dt.datetime.fromisoformat(x), *rest) for t, x, *rest in batch]
+        spark.createDataFrame(typed, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    everything = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+
+    def run(name, **options):
+        stream = win.read_stream(spark, f"{tmp_path}/in", everything.schema, recursiveFileLookup="true", maxFilesPerTrigger="1", latestFirst="false")
+        return win.stream_to_table(lambda: win.with_previous_window(stream, **options), f"{tmp_path}/{name}", f"{tmp_path}/{name}-log")
+
+    filled = ser.gap_fill(everything, "1 hour", {"volume": 0})
+    batch = ser.with_first_difference(filled, ["volume", "negative_rate"])
+    columns = ["topic", "timestamp", "volume", "negative_rate", "delta_volume", "delta_negative_rate", "stance_favor_rate"]
+    key = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert key(run("plain")) == key(batch)
+    forgetful = {(r.topic, r.timestamp.hour): (r.volume, r.delta_volume) for r in run("short", expire="3 hours").collect()}
+    assert forgetful["a", 6] == (6, 4.0 + 2.0) and forgetful["a", 4] == (0, -2.0)  # a gap of three hours is still filled
+    assert forgetful["b", 9] == (2, 0.0) and ("b", 5) not in forgetful  # a longer one begins anew
+    eager = {(r.topic, r.timestamp.hour): r.volume for r in run("eager", idle_windows=2, lateness="1 hour").collect()}
+    assert {k: v for k, v in eager.items() if k[0] == "a"}.items() >= {("a", h): v for h, v in ((0, 4), (1, 0), (2, 0), (3, 2), (6, 6), (7, 1))}.items()
+
+
+def test_alerts_of_the_stream_equal_the_batch(spark, sf_dir):
+    from emberscope.plans.queries_models import scoring_model
+    from emberscope.plans.queries_stream import StreamTables, feature_stream
+    from emberscope.schemas import OPTIMIZED_FEATURES
+    from emberscope.streaming import windows as win
+
+    t = Tables(spark, sf_dir)
+    model, _ = scoring_model(t)
+    table, root = feature_stream(t)
+    final = win.read_stream(spark, f"{root}/features", table.schema)
+    alerts = win.stream_to_table(lambda: win.streaming_alerts(final, model, OPTIMIZED_FEATURES, expire="3650 days"), f"{root}/alerts", f"{root}/alerts-log")
+    filled = ser.with_first_difference(ser.gap_fill(table, "1 hour", {"volume": 0}), ["volume", "negative_rate"])
+    full = filled.withColumns(
+        {"flame_score": C("volume") * C("negative_rate"), "against_count": C("volume") * C("stance_against_rate"),
+         "sentiment_polarity": C("stance_against_rate") - C("stance_favor_rate")}
+    )
+    want = sco.score_windows(full, model, OPTIMIZED_FEATURES)
+    pair = [sorted((r.topic, r.timestamp, r.score, r.level, round(r.probability, 9)) for r in df.collect()) for df in (alerts, want)]
+    assert pair[0] == pair[1] and len(pair[0]) > 5
+
+
+def test_calibrated_probabilities_beat_the_margin(spark):
+    """The sigmoid's log-loss on rows that the machine has not seen is below that of the bare margin."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 2))
+    y = (rng.random(900) < 1 / (1 + np.exp(-(2.5 * (x**2).sum(1) - 5)))).astype(int)
+    rows = spark.createDataFrame([("t", int(i), float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "topic string, i int, volume double, negative_rate double, label int")
+    train, test = rows.filter("i < 600"), rows.filter("i >= 600")
+    model = mo.fit(train, FEATURES, mo.PRESETS["rbf_svm"])
+    assert mo.importances(mo.Trained("m", model, FEATURES, 0.5, 0.0, None)) is None
+    scored = np.array([(r.probability, r.label) for r in mo.predict(model, test, FEATURES, keep=["label"]).collect()])
+    margins = model.transform(test).select(mo.vector_to_array("rawPrediction")[1].alias("m"), "label").collect()
+    bare = np.array([(1 / (1 + np.exp(-r.m)), r.label) for r in margins])
+
+    def loss(p):
+        q = np.clip(p[:, 0], 1e-12, 1 - 1e-12)
+        return -np.mean(p[:, 1] * np.log(q) + (1 - p[:, 1]) * np.log(1 - q))
+
+    assert loss(scored) < loss(bare) - 0.01 and loss(scored) < 0.55
+
+
+def test_nearest_neighbours_against_all_pairs(spark, monkeypatch):
+    from emberscope.operators import neighbours as nb
+
+    rng = np.random.default_rng(8)
+    points = np.round(np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(60, 3)) * 0.05 + 3, np.zeros((30, 3)), rng.integers(0, 3, size=(60, 3))]), 3)
+    distinct, copies = np.unique(points, axis=0, return_counts=True)
+    want = {}
+    for p, n in zip(distinct, copies):
+        gaps = nb._gaps(p[None, :], distinct)[0]
+        order = sorted((g, tuple(q), int(c)) for g, q, c in zip(gaps, distinct, copies) if tuple(q) != tuple(p))
+        near, have = [], 0
+        for g, q, c in order:
+            if have >= 5:
+                break
+            near.append((g, q, c))
+            have += c
+        want[tuple(p)] = (int(n), near)
+    monkeypatch.setattr(nb, "CHUNK", 40)
+    for parts, pivots in ((3, 1024), (7, 5)):
+        monkeypatch.setattr(nb, "MOST_PIVOTS", pivots)
+        frame = spark.createDataFrame([(list(map(float, p)),) for p in points], "x array<double>").repartition(parts)
+        got = {tuple(r.x): (r.copies, [(n.gap, tuple(n.y), n.copies) for n in r.near]) for r in nb.nearest(frame, 5, 3).collect()}
+        assert got == want
+
+
+def test_oversampling_touches_training_rows_only(separable):
+    from emberscope.plans import jobs
+
+    preset = mo.Preset("logistic", {"C": 1.0, "maxIter": 50}, scaled=True)
+    rows = separable.withColumn("is_controversy", C("label"))
+    plain, more = (jobs.train_unified(rows, FEATURES, preset, oversample=o) for o in (False, True))
+    for result in (plain, more):
+        row = result["metrics"].first()
+        assert row.tp + row.fp + row.fn + row.tn == 48 and row.tp + row.fn == 8  # the hold-out keeps its own balance
+    a, b = (r["probabilities"].agg(F.avg("probability")).first()[0] for r in (plain, more))
+    assert b > a  # balanced training rows raise the scores
+
+
 def test_order_of_partitions_does_not_matter(spark, sf_dir):
     class Shuffled(Tables):
         def table(self, name):

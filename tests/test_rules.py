@@ -157,7 +157,8 @@ def test_substring_scores_agree(spark):
     posts = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "tweet_id string, content string")
     words = {r.word: r.polarity for r in lexicon(spark).collect()}
     want = [sum(p for w, p in words.items() if w in (t or "")) for t in texts]
-    for limits in ({}, {"contains_words": 0}, {"contains_words": 0, "inline_words": 0}):
+    large = {"contains_words": 0, "inline_words": 0}
+    for limits in ({}, {"contains_words": 0}, large, {**large, "max_bytes": 100}):
         got = lex.substring_score(posts, lexicon(spark), **limits).orderBy("tweet_id").collect()
         assert [r.sentiment_score for r in got] == want, limits
 
@@ -166,10 +167,33 @@ def test_token_scores_agree(spark):
     texts = ["良い 悪い 悪い x", "い い", "none", None, ""]
     posts = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "tweet_id string, content string")
     want = [(0.0, 3.0, 4), (2.0, 0.0, 2), (0.0, 0.0, 1), (0.0, 0.0, 0), (0.0, 0.0, 0)]
-    for inline in (20_000, 0):
-        out = lex.token_weights(posts, lexicon(spark), "content", ["tweet_id"], inline_words=inline)
+    for limits in ({}, {"inline_words": 0}, {"inline_words": 0, "max_bytes": 100}):
+        out = lex.token_weights(posts, lexicon(spark), "content", **limits)
         got = out.orderBy("tweet_id").select("positive_score", "negative_score", "word_count").collect()
-        assert [tuple(r) for r in got] == want, inline
+        assert [tuple(r) for r in got] == want, limits
+    assert len(lex.shards(lexicon(spark), 100)) > 1
+
+
+def test_substring_index_against_python(spark):
+    """Random words, also of one character and beyond the text's end, over texts that repeat."""
+    rng = random.Random(4)
+    words = {"".join(rng.choice("ab😀良") for _ in range(rng.randint(1, 6))): rng.choice([-2, -1, 1, 2]) for _ in range(80)}
+    texts = ["".join(rng.choice("ab😀良 ") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    posts = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:20], None])], "n int, content string").repartition(3)
+    table = spark.createDataFrame([(w, p) for w, p in words.items()] + [("", 5)], "word string, polarity int")
+    want = [sum(p for w, p in words.items() if w in (t or "")) for t in [*texts, *texts[:20], None]]
+    for size in (lex.BROADCAST_BYTES, 1500):
+        scored_ = lex.substring_score(posts, table, contains_words=0, inline_words=0, max_bytes=size).orderBy("n")
+        assert [r.sentiment_score for r in scored_.collect()] == want
+    tokens = [" ".join(rng.choice([*list(words)[:30], "x"]) for _ in range(12)) for _ in range(20)] * 3
+    posts = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "n int, content string").repartition(3)
+    plain = {w: p for w, p in words.items() if w in list(words)[:30]}
+    table = spark.createDataFrame(list(plain.items()), "word string, polarity int")
+    pair = [
+        [tuple(r) for r in lex.token_weights(posts, table, "content", tokenizer=lambda c: F.split(c, " "), **limits).orderBy("n").collect()]
+        for limits in ({}, {"inline_words": 0}, {"inline_words": 0, "max_bytes": 500})
+    ]
+    assert pair[0] == pair[1] == pair[2]
 
 
 def test_top_terms_ties_go_to_first_seen(spark):
@@ -246,13 +270,74 @@ def test_intervals(spark):
     good = lab.usable_intervals(raw)
     assert sorted(r.label for r in good.collect()) == ["b", "period_1"]
     df = timed(spark, [("t", at(1, h), h) for h in range(6)] + [("u", at(1, 2), 9)], "h int")
-    for limit in (10, 0):
-        got = rows(lab.apply_intervals(df, good, max_broadcast=limit).select("h", "is_controversy"), "h")
-        assert got == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 0), (9, 0)]
+    got = rows(lab.apply_intervals(df, good).select("h", "is_controversy"), "h")
+    assert got == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 0), (9, 0)]
     zoned = rows(lab.apply_intervals(df, good, interval_zone="Asia/Tokyo").select("is_controversy"), "h")
     assert [r[0] for r in zoned] == [0] * 7
 
 
+def test_interval_sweep_against_brute_force(spark):
+    """Overlaps, long periods, equal ends, moments, rows without topic or time."""
+    rng = random.Random(11)
+    start = dt.datetime(2023, 12, 28)
+    periods = []
+    for _ in range(60):
+        a = start + dt.timedelta(hours=rng.randrange(24 * 60))
+        periods.append((rng.choice(["t", "u", None]), a, a + dt.timedelta(hours=rng.choice([0, 0, 1, 5, 24, 24, 200, -3]))))
+    periods += [periods[0]] * 5 + [("t", start, start + dt.timedelta(days=1)), ("w", start, dt.datetime(2024, 12, 31))]
+    df = [(rng.choice(["t", "u", "w", None]), rng.choice([None, *[start + dt.timedelta(hours=rng.randrange(24 * 70)) for _ in range(9)]]), i) for i in range(400)]
+    frame = spark.createDataFrame(df, "topic string, timestamp timestamp_ntz, n int").repartition(4)
+    bounds = spark.createDataFrame(periods, "topic string, start timestamp_ntz, end timestamp_ntz")
+    got = {r.n: r.is_controversy for r in lab.apply_intervals(frame, bounds).collect()}
+    want = {n: int(any(t is not None and t == p and x is not None and a <= x <= b for p, a, b in periods)) for t, x, n in df}
+    assert got == want and 0 < sum(want.values()) < 400
+
+
+def test_keep_first_plans_no_sort_of_rows(spark):
+    data = [(f"f{i % 3}", i % 50, None if i % 7 == 0 else f"k{i % 9}", f"text {i % 5}", i) for i in range(400)]
+    data = [(f, n * 10 + i // 40, k, t, i) for f, n, k, t, i in data]
+    posts = spark.createDataFrame(data, "source_file string, row_pos long, tweet_id string, content string, n int").repartition(5)
+    for got, key in ((dd.dedupe_posts(posts), 2), (dd.dedupe_content(posts), 3)):
+        best = {}
+        for row in sorted(data):
+            best.setdefault(row[key], row[:2])
+        assert sorted((r[key], r[0], r[1]) for r in got.collect() if r[key]) == sorted((k, *v) for k, v in best.items() if k)
+        assert len(got.collect()) == len(best)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and "HashAggregate" in plan
+    series = [("t", at(1), 1, "b"), ("t", at(1), 2, "a"), ("t", at(1), 2, "a"), (None, at(2), 3, "a"), (None, None, 4, "b"), (None, None, 5, "c")]
+    frame = spark.createDataFrame(series, "topic string, timestamp timestamp_ntz, n int, source_file string").repartition(3)
+    merged = dd.merge_hourly(frame)
+    assert sorted((r.n for r in merged.collect())) == [2, 3, 4]
+    assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+    two = spark.createDataFrame([("a", 5, 9, "x"), ("a", 7, 1, "x"), ("a", 5, 8, "x"), ("b", 0, 0, "x")], "f string, o long, r long, k string")
+    assert tuple(dd.keep_first(two, ["k"], ["f", "o", "r"]).first()) == ("a", 5, 8, "x")
+
+
+def test_summaries_of_widths_that_do_not_nest(spark):
+    posts = timed(spark, [("t", at(1, 0, 2), 1), ("t", at(1, 0, 16), 1), ("t", at(1, 5, 59), 1)], "n int")
+    got = {r.width: (r.windows, r.max_count, r.min_count) for r in ser.resolution_summary(posts, ("10 minutes", "15 minutes", "7 hours")).collect()}
+    assert got == {"10 minutes": (36, 1, 0), "15 minutes": (24, 1, 0), "7 hours": (1, 3, 3)}
+
+
+def test_long_gap_is_cut_into_pieces(spark):
+    posts = timed(spark, [("t", dt.datetime(1974, 1, 1), 1), ("t", at(1), 1), ("t", at(1, 1), 1), ("u", at(3), 1)], "n int")
+    filled = ser.post_counts(posts, "10 minutes")
+    hours = (at(1, 1) - dt.datetime(1974, 1, 1)).days * 144 + 6
+    total = filled.groupBy("topic").agg(F.count("*").alias("n"), F.sum("count").alias("s"), F.countDistinct("timestamp").alias("d"))
+    assert {r.topic: (r.n, r.s, r.d) for r in total.collect()} == {"t": (hours + 1, 3, hours + 1), "u": (1, 1, 1)}
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 2
+
+
+def test_dataset_summary_lists_are_bounded(spark):
+    rows_ = [("t", at(1 + i % 3), f"f{i % 2}", f"q{i % 40:02d}") for i in range(200)] + [("u", at(1), "f", None), (None, at(1), "f", "q")]
+    posts = spark.createDataFrame(rows_, "topic string, timestamp timestamp_ntz, source_file string, query string")
+    got = {r.topic: r for r in rep.topic_dataset_summary(posts, most_listed=3).collect()}
+    assert (got["t"].n, got["t"].files, got["t"].query_count, got["t"].queries, got["t"].days) == (200, 2, 40, "q00,q01,q02", 3)
+    assert (got["u"].queries, got["u"].query_count, got[None].queries) == ("", 0, "q")
+
+
 def test_close_windows(spark):
     df = timed(spark, [("t", at(1, 0), 1), ("t", at(1, 2), 1), ("t", at(1, 4, 0, 1), 1), ("u", at(1), 1)], "n int")
     got = rows(ser.join_close_windows(df, 7200), "topic", "period")
