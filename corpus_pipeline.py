@@ -8,34 +8,28 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from emberscope.llm import decontaminate, mixing, near_dedup, quality, token_files
 from emberscope.llm.shared import stage
+from emberscope.session import Scratch, remove_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "byte_bpe_50k.json"
 SIMILARITY = 80  # percent of shared runs of five words from which the stage takes two texts for copies
 
 
-def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is kept; verdicts carry doc_id and kept, and a null id is judged like any."""
-    wanted = verdicts.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi").select(*COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality.passing(docs.select(*COLUMNS))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates."""
-    return keep(docs, near_dedup.near_duplicates(docs, SIMILARITY))
+    """One row of each group of near-duplicates, that of the smallest id; rows are judged, not ids."""
+    return near_dedup.without_near_duplicates(docs, SIMILARITY).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no test item."""
+    """Rows that leak no test item, each judged by its own text."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
@@ -61,7 +55,13 @@ ORACLE_SQL = None  # no SQL for MinHash components or tokenizers; tests hold the
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage leaves behind is removed once the next one has been written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with Scratch(spark) as scratch:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            written = scratch.keep(f"pipeline-{name}")
+        for folder in before:
+            remove_folder(spark, folder)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
