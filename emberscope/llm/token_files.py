@@ -9,12 +9,9 @@ last sequence is padded.  ``part-N.index.arrow`` holds ``doc_id``, ``start`` (wi
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,93 +19,15 @@ from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
+from emberscope.llm.batch_encoder import batch_encoder, with_end
 from emberscope.llm.shared import pieces, released_shuffles, shared_dir, stage, texts
 
 END_ID = 2
 SEQUENCE = 1024
 BATCH_SEQUENCES = 64
-CACHED_UNITS = 1_000_000
-BESIDE_SPACE = re.compile(r"\s |[ ]\s")
-
-
-def byte_letters() -> dict[int, str]:
-    """Byte-level tokenizers write byte b as this letter: printable ones stand for themselves, the rest follow from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {**{b: chr(b) for b in plain}, **{b: chr(0x100 + i) for i, b in enumerate(rest)}}
-
-
-class Encoder:
-    """Encodes texts with a tokenizers file, each distinct word once.
-
-    A byte-level BPE without normalizer never merges across a single space between two visible characters,
-    so a text is cut there and the ids of the pieces, kept in a bounded cache, are strung together.  Texts
-    with other white space around spaces, or with an added token, go to the library whole, as do all texts of
-    other kinds of tokenizer.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.model = self.tokenizer.model
-        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = (
-            spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel"
-            and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        )
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.letters = str.maketrans(byte_letters())
-        self.cache: dict[str, bytes] = {}
-
-    def pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def whole(self, text: str) -> bytes:
-        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def unit(self, unit: str) -> bytes:
-        word = unit.rstrip(".,")
-        if word[:1] == " " and word[1:].isalpha() and max(word) < "\u0500":
-            known = self.cache.get(word)
-            if known is None:
-                spelled = word.encode().decode("latin-1").translate(self.letters)
-                known = self.pack([t.id for t in self.model.tokenize(spelled)])
-                self.cache[word] = known
-            tail = unit[len(word) :]
-            return known + self.unit(tail) if tail else known
-        found = self.cache.get(unit)
-        if found is None:
-            found = self.cache[unit] = self.whole(unit)
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """The packed ids of one whole text."""
-        if not (self.by_word and text):
-            return self.whole(text)
-        if text[0].isspace() or text[-1].isspace() or BESIDE_SPACE.search(text) or any(a in text for a in self.added):
-            return self.whole(text)
-        units = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else None
-        if units is None:
-            return self.whole(text)
-        cache = self.cache
-        if len(cache) > CACHED_UNITS:
-            cache.clear()
-        out = list(map(cache.get, units))
-        for i, known in enumerate(out):
-            if known is None:
-                out[i] = cache[units[i]] = self.unit(units[i])
-        return b"".join(out)
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+BATCH_BYTES = 8 << 20
+INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def file_schema(dtype: np.dtype, length: int) -> pa.Schema:
@@ -125,25 +44,24 @@ class ShardWriter:
         self.final = f"{base}/part-{shard:06d}"
         self.own = f"{base}/.part-{shard:06d}-{uuid.uuid4().hex}"
         self.schema, self.dtype, self.length = file_schema(dtype, length), dtype, length
-        self.sink = self.fs.open_output_stream(f"{self.own}.arrow")
-        self.writer = ipc.new_file(self.sink, self.schema)
-        self.parts: list[bytes] = []
+        self.sinks = [self.fs.open_output_stream(self.own + kind) for kind in (".arrow", ".index.arrow")]
+        self.writer, self.index = (ipc.new_file(sink, schema) for sink, schema in zip(self.sinks, (self.schema, INDEX)))
+        self.parts: list[np.ndarray] = []
         self.waiting = 0
         self.total = 0
-        self.index: tuple[list, list, list] = ([], [], [])
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        n = len(ids) // self.dtype.itemsize
-        for column, value in zip(self.index, (doc_id, self.total, n)):
-            column.append(value)
-        self.total += n
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        """The documents of a batch: their ids one after the other, and how many each has."""
+        starts = self.total + np.cumsum(counts) - counts
+        self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(counts)], schema=INDEX))
+        self.total += len(ids)
         self.parts.append(ids)
-        self.waiting += n
+        self.waiting += len(ids)
         if self.waiting >= self.length * BATCH_SEQUENCES:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.parts), self.dtype)
+        ids = np.concatenate(self.parts) if self.parts else np.zeros(0, self.dtype)
         block = self.length * BATCH_SEQUENCES
         while len(ids) >= block or (last and len(ids)):
             now, ids = ids[:block], ids[block:]
@@ -160,15 +78,12 @@ class ShardWriter:
                     schema=self.schema,
                 )
             )
-        self.parts, self.waiting = [ids.tobytes()], len(ids)
+        self.parts, self.waiting = [ids], len(ids)
 
     def close(self) -> str:
         self._flush(True)
-        self.writer.close()
-        self.sink.close()
-        index = pa.table({"doc_id": pa.array(self.index[0], pa.int64()), "start": pa.array(self.index[1], pa.int64()), "n_tokens": pa.array(self.index[2], pa.int64())})
-        with self.fs.open_output_stream(f"{self.own}.index.arrow") as sink, ipc.new_file(sink, index.schema) as writer:
-            writer.write_table(index)
+        for part in (self.writer, self.index, *self.sinks):
+            part.close()
         for kind in (".index.arrow", ".arrow"):
             if self.fs.get_file_info(self.final + kind).type == fs.FileType.NotFound:
                 self.fs.move(self.own + kind, self.final + kind)
@@ -185,7 +100,7 @@ class TokenFile:
         local = isinstance(system, fs.LocalFileSystem)
         open_ = (lambda p: pa.memory_map(p)) if local else system.open_input_file
         self.reader = ipc.open_file(open_(f"{base}/{name}.arrow"))
-        self.documents = ipc.open_file(open_(f"{base}/{name}.index.arrow")).read_all()
+        self.index = ipc.open_file(open_(f"{base}/{name}.index.arrow"))
         self.length = self.reader.schema.field("ids").type.list_size
         self.rows = self.reader.get_batch(0).num_rows if self.reader.num_record_batches else 0
 
@@ -207,7 +122,8 @@ class TokenFile:
         batches = ((b.column("ids").values.to_numpy(zero_copy_only=True), b.column("mask").values.true_count)
                    for b in map(self.reader.get_batch, range(self.reader.num_record_batches)))
         rest = np.zeros(0, np.uint16)
-        for doc_id, start, n in zip(*(self.documents.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens"))):
+        documents = (row for k in range(self.index.num_record_batches) for row in zip(*(c.to_pylist() for c in self.index.get_batch(k).columns)))
+        for doc_id, start, n in documents:
             got = [rest]
             have = len(rest)
             while have < n:
@@ -223,24 +139,25 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     """Encode every text, append ``end_id`` and write the shards; returns one row per shard (shard, name, n_tokens).
 
     Null and empty texts give the end id alone; rows with the same id stay next to each other in the order
-    of their texts; null ids come first; an empty table writes no shard; other columns are ignored.
+    of a hash of their texts; null ids come first; an empty table writes no shard; other columns are ignored.
+    Shards are ranges of (id, hash, a number of the row), so rows that share an id, or have none, fill several.
     """
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
-        tail = code.pack([end_id])
+        code = batch_encoder(tokenizer)
         shard, writer = TaskContext.get().partitionId(), None
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=BATCH_BYTES):
             writer = writer or ShardWriter(folder, shard, code.dtype, length)
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                writer.add(doc_id, code.encode((text or b"").decode("utf-8", "replace")) + tail)
+            writer.add(batch.column("doc_id"), *with_end(*code.encode(batch.column("text")), end_id))
         if writer is not None:
             name = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_tokens": [writer.total]})
 
     if length % 8:
         raise ValueError("length must be a multiple of 8")
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = texts(docs).withColumns({"key": F.xxhash64("text"), "number": F.monotonically_increasing_id()})
+    order = ["doc_id", "key", "number"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return stage(ordered.mapInArrow(write, "shard long, name string, n_tokens long"), "token-shards")
 
 
