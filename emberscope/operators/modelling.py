@@ -78,7 +78,7 @@ CROSS_TOPIC = Preset("gbt", {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1})
 
 
 # Settings of this library: folds for calibration; boosted fits store their lineage every so many rounds.
-CALIBRATION_FOLDS = 5
+CALIBRATION_FOLDS = 3
 CHECKPOINT_ROUNDS = 50
 
 
