@@ -286,7 +286,7 @@ def _m26b(t: Tables) -> DataFrame:
     model, _ = scoring_model(t)
     out = sco.score_series(t.analysed, model, OPTIMIZED_FEATURES)
     fits = C("probability").between(0, 1) & (C("score") == F.floor(C("probability") * 100)) & (C("level") == score_level(C("score")))
-    return out.select("topic", "timestamp", "volume", "negative_rate", fits.alias("fits"))
+    return out.select("topic", "timestamp", C("volume").cast("bigint").alias("volume"), "negative_rate", fits.alias("fits"))
 
 
 @query(
@@ -298,7 +298,8 @@ def _m26b(t: Tables) -> DataFrame:
 )
 def _m27b(t: Tables) -> DataFrame:
     """Which window stands for each topic, and which topics have none."""
-    return _m27(t).select("topic", "timestamp", "volume", (C("level") == "unknown").alias("is_unknown"))
+    volume = C("volume").cast("bigint").alias("volume")
+    return _m27(t).select("topic", "timestamp", volume, (C("level") == "unknown").alias("is_unknown"))
 
 
 @query("m27_current_score")

@@ -93,4 +93,5 @@ def _r2c(t: Tables) -> DataFrame:
     out = alert_stream(t)
     bands = (C("level") == score_level(C("score"))) & (C("alert") == alert_class(C("score")))
     fits = C("probability").between(0, 1) & (C("score") == F.floor(C("probability") * 100))
-    return out.select("topic", "timestamp", "volume", "negative_rate", fits.alias("score_fits"), bands.alias("level_fits"))
+    volume = C("volume").cast("bigint").alias("volume")
+    return out.select("topic", "timestamp", volume, "negative_rate", fits.alias("score_fits"), bands.alias("level_fits"))
