@@ -278,7 +278,7 @@ def _m26(t: Tables) -> DataFrame:
 
 @query(
     "m26_series_windows",
-    """SELECT topic, "timestamp", volume, negative_rate, TRUE AS fits FROM scoring_series""",
+    """SELECT topic, "timestamp", volume, coalesce(negative_rate, 0) AS negative_rate, TRUE AS fits FROM scoring_series""",
     doubles=["negative_rate"],
 )
 def _m26b(t: Tables) -> DataFrame:

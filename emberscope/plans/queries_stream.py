@@ -85,7 +85,7 @@ def _r2b(t: Tables) -> DataFrame:
 
 @query(
     "r2_alert_windows",
-    f"""SELECT topic, "timestamp", volume, negative_rate, TRUE AS score_fits, TRUE AS level_fits FROM ({UP_TO_FINAL_SQL})""",
+    f"""SELECT topic, "timestamp", volume, coalesce(negative_rate, 0) AS negative_rate, TRUE AS score_fits, TRUE AS level_fits FROM ({UP_TO_FINAL_SQL})""",
     doubles=["negative_rate"],
 )
 def _r2c(t: Tables) -> DataFrame:
