@@ -189,7 +189,7 @@ def _estimator(preset: Preset, rows: int, inputs: str):
     reg = 1.0 / (options.pop("C") * max(rows, 1))
     if preset.kind == "logistic":
         return LogisticRegression(regParam=reg, standardization=False, **common, **options)
-    return LinearSVC(regParam=reg, maxIter=100, standardization=False, **common)
+    return LinearSVC(regParam=reg, maxIter=100, tol=1e-4, standardization=False, **common)
 
 
 def fit(train: DataFrame, features: Sequence[str], preset: Preset) -> PipelineModel:

@@ -286,7 +286,7 @@ def test_stream_equals_batch_over_empty_windows(spark, tmp_path):
 
 def test_alerts_of_the_stream_equal_the_batch(spark, sf_dir):
     from emberscope.plans.queries_models import scoring_model
-    from emberscope.plans.queries_stream import StreamTables, feature_stream
+    from emberscope.plans.queries_stream import feature_stream
     from emberscope.schemas import OPTIMIZED_FEATURES
     from emberscope.streaming import windows as win
 
