@@ -206,11 +206,14 @@ def classes(docs: DataFrame, percent: int, with_null_ids: bool) -> tuple[DataFra
     per set with a link the component's ``label``.
 
     Equal sets are one node, so copies cost one row each and never a pair.  Nodes are numbers of their own, so
-    rows with the same id or without one are judged by their own texts.
+    rows with the same id or without one are judged by their own texts.  They rise with the smallest id, null last:
+    the text that a bucket's members are compared with first is the oldest, from which near copies differ least.
     """
     signed = stage(keyed(docs).mapInArrow(_sign, SIGNED), "signatures")
     some = signed.where("n_shingles > 0") if with_null_ids else signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = some.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("first_id"))
+    order = [F.asc_nulls_last("first_id"), "key1", "key2"]
+    nodes = nodes.repartitionByRange(*order).sortWithinPartitions(*order)
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
     return signed, nodes, linked_nodes(docs, signed, nodes, percent)
 
