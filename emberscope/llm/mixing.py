@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscope.llm.shared import WORD, stage
+from emberscope.operators.sizing import is_small
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -24,6 +25,7 @@ GROUP_BLOCKS = 512
 SEED = 17
 SPREAD = 1 << 53
 COPIES = 4096
+FEW_KEYS = 200_000
 
 
 def words(text: str = "text") -> Column:
@@ -63,6 +65,8 @@ def numbered(measured: DataFrame, counts: DataFrame) -> DataFrame:
     them, and from the counts of the tasks before it.
     """
     several = counts.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in EQUAL])
+    if is_small(several, FEW_KEYS):  # no text then moves to find the rows that have no equals
+        several = F.broadcast(several)
     same = measured["source"].eqNullSafe(several["_source"]) & (measured["size"] == several["_size"]) & (measured["key"] == several["_key"])
     alone = measured.join(several, same, "left_anti").withColumn("at", place(F.lit(0).cast("long")))
     equal = measured.join(several, same, "left_semi").withColumn("number", F.monotonically_increasing_id())
