@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from emberscope.llm.shared import ranges
 
-STORED_IDS = 8_000_000
+STORED_IDS = 4_000_000
 CUT = "\x00"
 SPACES = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]{2}"
 
