@@ -625,12 +625,26 @@ def _s8(t: Tables) -> DataFrame:
     return t.events.select("event_id", src.topic_from_path(path).alias("topic_name"))
 
 
+PIECE_CHARACTERS = 1 << 18
+
+
+def pieces(texts: pd.Series, characters: int = PIECE_CHARACTERS) -> Iterator[pd.Series]:
+    """The texts in order, in runs that end with the text that brings them to ``characters``; null has none.
+
+    A word as a Python string takes some sixty bytes, so the words of a whole Arrow batch are many times its size.
+    """
+    before = texts.fillna("").str.len().cumsum().shift(fill_value=0) // characters
+    for _, piece in texts.groupby(before.to_numpy(), sort=False):
+        yield piece
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def word_tokenizer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A user-supplied tokenizer: set up once per task, then fed Arrow batches."""
+    """A user-supplied tokenizer: set up once per task, then fed Arrow batches, whose words leave piece by piece."""
     pattern = re.compile(r"\w+")
     for texts in batches:
-        yield texts.map(lambda s: pattern.findall(s or ""))
+        for piece in pieces(texts):
+            yield piece.map(lambda s: pattern.findall(s or ""))
 
 
 @query(
