@@ -1,7 +1,10 @@
 """What keeps the work of larger tables in proportion."""
 
+from datetime import datetime
+
 import pandas as pd
 
+from emberscope.plans.catalog import QUERIES
 from emberscope.plans.queries_clean import PIECE_CHARACTERS, word_tokenizer
 
 
@@ -12,3 +15,26 @@ def test_words_leave_the_tokenizer_in_pieces():
     assert [words for part in parts for words in part] == [(t or "").split() for t in texts] + [[], []]
     longest = max(len(t or "") for t in texts)
     assert all(sum(len(w) + 1 for words in part for w in words) <= PIECE_CHARACTERS + longest + len(part) for part in parts)
+
+
+def joins(plan):
+    """The joins of an optimised plan, outermost first."""
+    found = [plan] if plan.nodeName() == "Join" else []
+    children = plan.children()
+    return found + [j for i in range(children.size()) for j in joins(children.apply(i))]
+
+
+def test_texts_are_not_shuffled_with_the_posts(spark, tmp_path):
+    """Posts are told apart by their whole text, yet the join that keeps the first ones moves no text."""
+    texts = ["same", "same", "other", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(i, datetime(2024, 1, 1, i), i, "view", 1.0, '{"k": 1}') for i in (3, 0, 8, 1, 6, 2, 9)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, schema).write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["a18_dedupe_content"](spark, str(tmp_path))
+    digests = {None: None, "same": "51037a4a37730f52c8732586d3aaa316", "other": "795f3202b17cb6bc3d4b771d8c6c9eaf", "": "d41d8cd98f00b204e9800998ecf8427e"}
+    assert sorted((r.tweet_id, r.content_md5) for r in out.collect()) == [
+        ("0", digests["same"]), ("2", digests["other"]), ("3", digests[None]), ("9", digests[""])
+    ]
+    kept = [j for j in joins(out._jdf.queryExecution().optimizedPlan()) if j.joinType().toString() == "LeftSemi"]
+    assert len(kept) == 1 and "content#" not in kept[0].left().output().toString()
