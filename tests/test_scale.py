@@ -4,6 +4,8 @@ from datetime import datetime
 
 import pandas as pd
 
+from emberscope.plans import queries_models as qm
+from emberscope.plans.bindings import Tables
 from emberscope.plans.catalog import QUERIES
 from emberscope.plans.queries_clean import PIECE_CHARACTERS, word_tokenizer
 
@@ -38,3 +40,15 @@ def test_texts_are_not_shuffled_with_the_posts(spark, tmp_path):
     ]
     kept = [j for j in joins(out._jdf.queryExecution().optimizedPlan()) if j.joinType().toString() == "LeftSemi"]
     assert len(kept) == 1 and "content#" not in kept[0].left().output().toString()
+
+
+def test_statistics_of_windows_do_not_go_back_to_the_posts(spark, sf_dir, monkeypatch):
+    """What whole-table statistics and codes of the ablations read are written windows, not posts and texts."""
+    read, with_z_score = [], qm.ser.with_z_score
+    monkeypatch.setattr(qm.ser, "with_z_score", lambda df: read.extend(df.inputFiles()) or with_z_score(df))
+    rows = qm.wide_rows(Tables(spark, sf_dir))
+    assert read and not [f for f in read if "events" in f or "documents" in f or "labels" in f]
+    windows = Tables(spark, sf_dir).labelled
+    assert rows.count() == windows.count()
+    compared = ["topic", "timestamp", "volume", "negative_rate", "flame_score", "is_controversy"]
+    assert rows.select(*compared).exceptAll(windows.select(*compared)).count() == 0
