@@ -1,9 +1,14 @@
 """What keeps the work of larger tables in proportion."""
 
+import threading
 from datetime import datetime
 
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF
+from pyspark.sql import functions as F
 
+from emberscope.operators import stance as st
 from emberscope.plans import queries_models as qm
 from emberscope.plans.bindings import Tables
 from emberscope.plans.catalog import QUERIES
@@ -52,3 +57,27 @@ def test_statistics_of_windows_do_not_go_back_to_the_posts(spark, sf_dir, monkey
     assert rows.count() == windows.count()
     compared = ["topic", "timestamp", "volume", "negative_rate", "flame_score", "is_controversy"]
     assert rows.select(*compared).exceptAll(windows.select(*compared)).count() == 0
+
+
+def test_stance_fits_hold_one_set_of_rows_at_a_time(spark, monkeypatch):
+    """The settings share the weights of their rows, and no two fits keep rows in memory at once."""
+    weights, running, most, lock = [], [0], [0], threading.Lock()
+    fit_weights, fit_model = IDF._fit, LogisticRegression._fit
+
+    def counted(self, rows):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            return fit_model(self, rows)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(IDF, "_fit", lambda self, rows: weights.append(1) or fit_weights(self, rows))
+    monkeypatch.setattr(LogisticRegression, "_fit", counted)
+    words = F.concat_ws(" ", F.when(F.col("id") % 2 == 0, "good fine").otherwise("bad poor"), F.col("id").cast("string"))
+    rows = spark.range(60).select(words.alias("content"), F.when(F.col("id") % 2 == 0, "FAVOR").otherwise("AGAINST").alias("label"))
+    scored = st.predict_stance(st.train_stance(rows, buckets=64, max_iter=5), rows)
+    assert scored.filter("label = stance_label").count() == 60
+    assert (len(weights), most[0]) == (2, 1)
