@@ -2,8 +2,10 @@
 
 import threading
 from datetime import datetime
+from pathlib import Path
 
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF
 from pyspark.sql import functions as F
@@ -81,3 +83,22 @@ def test_stance_fits_hold_one_set_of_rows_at_a_time(spark, monkeypatch):
     scored = st.predict_stance(st.train_stance(rows, buckets=64, max_iter=5), rows)
     assert scored.filter("label = stance_label").count() == 60
     assert (len(weights), most[0]) == (2, 1)
+
+
+def test_stance_fits_bound_what_a_task_holds(spark, tmp_path, monkeypatch):
+    """Rows come back in small row groups, and what Spark keeps of a share of them, 100 blocks, is bounded as well."""
+    fits, fit_model = [], LogisticRegression._fit
+    monkeypatch.setattr(st, "shared_dir", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda self, rows: fits.append(self) or fit_model(self, rows))
+    words = F.expr("transform(sequence(1, 400), i -> conv(abs(xxhash64(id, i)), 10, 36))")
+    rows = spark.range(0, 3000, 1, 1).select(
+        F.concat_ws(" ", words).alias("content"), F.when(F.col("id") % 3 == 0, "FAVOR").otherwise("AGAINST").alias("label")
+    )
+    st.train_stance(rows, max_iter=1)
+    groups = [
+        meta.row_group(i) for f in Path(tmp_path, "stance-counts").glob("*.parquet")
+        for meta in [pq.ParquetFile(f).metadata] for i in range(meta.num_row_groups)
+    ]
+    assert sum(g.num_rows for g in groups) == 3000
+    assert max(g.total_byte_size for g in groups) <= 4 << 20 < sum(g.total_byte_size for g in groups)
+    assert len(fits) == 3 and max(100 * f.getMaxBlockSizeInMB() for f in fits) <= 64
